@@ -41,32 +41,49 @@ def hierarchies(rows: DataFrame) -> DataFrame:
     from the root down to the parent. Nodes in or below a loop have no root, depth, path or ancestors.
     Null and dangling parents make a root; an empty table gives an empty result.
     """
-    step = F.struct("id", "name")
+    record, core = _contract(rows)
+    return _undo(rows, record, core)
+
+
+def looped_nodes(rows: DataFrame) -> DataFrame:
+    """``id, element_id`` of the nodes in or below a loop, by the same contraction.
+
+    Only the loops' cores are expanded again, so the paths of all other nodes are never built.
+    """
+    record, core = _contract(rows)
+    if core is None:
+        return rows.sparkSession.createDataFrame([], "id long, element_id string")
+    found = [core.select("id", "element_id")]
+    for r in range(len(record) - 1, -1, -1):
+        known = reduce(DataFrame.unionByName, found).select(F.col("id").alias("par"))
+        new = record[r].join(known, "par", "left_semi").select("id", "element_id")
+        found.append(cut(new) if r else new)
+    return reduce(DataFrame.unionByName, found)
+
+
+def _contract(rows: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """What each round took out, with the parent at that time, and the loops that remain."""
     alive = resolve_parents(rows).withColumn("chain", F.array().cast("array<struct<id:bigint,name:string>>"))
-    record: list[tuple[DataFrame | None, DataFrame | None]] = []
-    core = None
+    record: list[DataFrame] = []
     for r in range(MAX_ROUNDS):
         now = cut(_classified(alive, r))
         by_state = now.groupBy("state").agg(F.count("*").alias("n"), F.count_if(F.col("par") == F.col("id")).alias("loops"))
         counts = {x["state"]: (x["n"], x["loops"]) for x in by_state.collect()}
-        leaves, out, stay = (now.where(F.col("state") == s).drop("state") if s in counts else None for s in ("leaf", "splice", "stay"))
-        record.append((leaves, out))
-        if stay is None:
-            break
-        if out is None:
-            alive = stay
-            if counts["stay"][0] == counts["stay"][1]:
-                core = stay
-                break
-            continue
-        up = out.select(F.col("id").alias("par"), F.col("par").alias("up"), F.concat("chain", F.array(step)).alias("head"))
-        moved = _left(stay, up, "par")
-        alive = moved.select(
-            "id", "element_id", "name", F.coalesce("up", "par").alias("par"), F.concat(F.coalesce("head", F.expr("slice(chain, 1, 0)")), "chain").alias("chain")
-        )
-    else:
-        raise RuntimeError("contraction did not end")
-    return _undo(rows, record, core)
+        if "splice" in counts:  # no node and its parent are spliced out together
+            out = now.where(F.col("state") == "splice")
+            up = out.select(F.col("id").alias("par"), F.col("par").alias("up"), F.concat("chain", F.array(F.struct("id", "name"))).alias("head"))
+            kept = _left(now.where(F.col("state") != "splice"), up, "par")
+            chain = F.concat(F.coalesce("head", F.expr("slice(chain, 1, 0)")), "chain")
+            kept = kept.select("id", "element_id", "name", F.coalesce("up", "par").alias("par"), chain.alias("chain"), "state")
+            record.append(kept.where(F.col("state") == "leaf").unionByName(out).drop("state"))
+            alive = kept.where(F.col("state") == "stay").drop("state")
+        else:
+            record.append(now.where(F.col("state") == "leaf").drop("state"))
+            alive = now.where(F.col("state") == "stay").drop("state")
+        n, loops = counts.get("stay", (0, 0))
+        if n == loops:
+            return record, alive if n else None
+    raise RuntimeError("contraction did not end")
 
 
 def _left(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
@@ -90,7 +107,7 @@ def _classified(alive: DataFrame, r: int) -> DataFrame:
 _DONE = ["id", "element_id", "name", "root_id", "depth", "path", "ancestors", "looped"]
 
 
-def _undo(rows: DataFrame, record: list, core: DataFrame | None) -> DataFrame:
+def _undo(rows: DataFrame, record: list[DataFrame], core: DataFrame | None) -> DataFrame:
     """Undo the contractions from the last round to the first."""
     done: list[DataFrame] = []
     if core is not None:
@@ -100,13 +117,9 @@ def _undo(rows: DataFrame, record: list, core: DataFrame | None) -> DataFrame:
             )
         )
     for r in range(len(record) - 1, -1, -1):
-        leaves, out = record[r]
-        for part in (out, leaves):  # a leaf's parent may have been spliced out in its round
-            if part is None:
-                continue
-            new = _resolved(part, done)
-            done.append(new if r == 0 and part is leaves else cut(new))
-    whole = reduce(DataFrame.unionByName, done) if done else rows.sparkSession.createDataFrame([], "id long, element_id string, name string, root_id long, depth int, path string, ancestors array<bigint>, looped boolean")
+        new = _resolved(record[r], done)
+        done.append(cut(new) if r else new)
+    whole = reduce(DataFrame.unionByName, done)
     if core is None:
         return whole.select(*_DONE[:-1], F.lit(False).alias("in_loop"), F.lit(False).alias("below_loop"))
     members = core.select(F.explode(F.concat(F.transform("chain", lambda x: x["id"]), F.array("id"))).alias("id"), F.lit(True).alias("member"))

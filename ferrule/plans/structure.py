@@ -83,4 +83,5 @@ def p7_descendants(spark: SparkSession, d: str) -> DataFrame:
     WALK + "SELECT c.element_id FROM current_rows c WHERE c.row_id NOT IN (SELECT row_id FROM walk)",
 )
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return nodes(spark, d).where(F.col("in_loop") | F.col("below_loop")).select("element_id")
+    rows = current_elements(spark, d, "row_id", "element_id", "name", "parent_id")
+    return hierarchy.looped_nodes(rows.withColumnRenamed("row_id", "id")).select("element_id")
