@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm import docpairs, endings, leaks, split, syntax
+from ferrule.llm import docpairs, endings, leaks, neighbours, split, syntax
 from ferrule.plans.registry import Registry
 from ferrule.sources.tables import current_elements, latest_per_key, table
 
@@ -48,6 +48,34 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.where((F.col("n_pieces") > 1) & (F.col("piece_no") == 0)).select("element_id")
 
 
+# --- 2 ---------------------------------------------------------------------------------------------
+
+VECTORS = ["summary_embedding", "code_embedding"]
+SIMILAR = 0.9
+
+
+def field_name() -> F.Column:
+    return F.element_at(F.array(*[F.lit(v) for v in VECTORS]), F.col("field") + 1)
+
+
+@R.query("p2_found")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs are found and kept by row_id; only those that remain get their element_ids."""
+    rows = table(spark, d, "code_elements")
+    near = neighbours.nearest(rows, VECTORS, least=SIMILAR).where(F.col("sim") >= SIMILAR)
+    pairs = near.select("field", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ids = rows.select("row_id", "element_id")
+    named = pairs.join(ids.withColumnsRenamed({"row_id": "a", "element_id": "ea"}), "a").join(ids.withColumnsRenamed({"row_id": "b", "element_id": "eb"}), "b")
+    return named.select(field_name().alias("field"), F.least("ea", "eb").alias("element_id_a"), F.greatest("ea", "eb").alias("element_id_b"))
+
+
+@R.query("p2_neighbours")
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar of every row whose id is divisible by 50, among all rows."""
+    near = neighbours.nearest(table(spark, d, "code_elements"), VECTORS, reach=4096, ask=lambda c: c % 50 == 0)
+    return near.select(field_name().alias("field"), F.col("a").alias("row_id"), F.col("b").alias("neighbour_row_id"), F.round("sim", 3).alias("similarity"), "place")
+
+
 # --- 3 ---------------------------------------------------------------------------------------------
 
 
