@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A limit is a length that has at least so many texts of a source, and so many times the mean of its surroundings.
-LEAST_AT_LIMIT = 5
+LEAST_AT_LIMIT = 6
 LEAST_SHARE = 0.01
-LEAST_RATIO = 8.0
+LEAST_RATIO = 5.0
 AROUND = 25
 #: A byte limit may leave up to three bytes unused, where a character didn't fit.
 BYTE_SLACK = 3
@@ -119,7 +119,8 @@ def limits(documents: DataFrame) -> DataFrame:
     seen = counts.select(
         "source", "measure", "len", "n", slack.alias("n_at"), F.sum("n").over(w.rangeBetween(-AROUND, AROUND)).alias("near"), F.sum("n").over(Window.partitionBy("source", "measure")).alias("n_source"),
     )
-    beside = (F.col("near") - F.col("n_at")) / F.lit(2.0 * AROUND)
+    width = F.when(F.col("measure").endswith("bytes"), BYTE_SLACK + 1).otherwise(1)
+    beside = (F.col("near") - F.col("n_at")) / F.lit(2.0 * AROUND) * width
     found = seen.where(
         (F.col("n_at") >= LEAST_AT_LIMIT) & (F.col("n_at") >= LEAST_SHARE * F.col("n_source")) & (F.col("n_at") >= LEAST_RATIO * F.greatest(beside, F.lit(0.25)))
     )

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm import docpairs, endings, leaks, neighbours, split, syntax
+from ferrule.llm import docpairs, endings, handwritten, leaks, neighbours, packing, split, syntax
 from ferrule.plans.registry import Registry
-from ferrule.sources.tables import current_elements, latest_per_key, table
+from ferrule.sources.tables import current_elements, latest_per_key, newest_files, table
 
 R = Registry()
 FILE = ["repository", "username", "relative_path"]
@@ -99,6 +99,25 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs(spark, d).select("element_id").distinct()
 
 
+# --- 4 ---------------------------------------------------------------------------------------------
+
+
+def written_elsewhere(spark: SparkSession, d: str) -> DataFrame:
+    files = newest_files(spark, d, *FILE, "language", "is_deleted").where(~F.coalesce("is_deleted", F.lit(False))).drop("is_deleted")
+    texts = current_files(spark, d, *FILE, "raw_code").groupBy(*FILE).agg(F.max("raw_code").alias("text"))
+    return handwritten.not_handwritten(files.join(texts, FILE))
+
+
+@R.query("p4_found")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return written_elsewhere(spark, d).select(*FILE).distinct()
+
+
+@R.query("p4_kinds")
+def p4_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return written_elsewhere(spark, d).groupBy("repository", "kind").agg(F.count("*").alias("n_files"))
+
+
 # --- 5 ---------------------------------------------------------------------------------------------
 
 
@@ -126,6 +145,21 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# --- 8 ---------------------------------------------------------------------------------------------
+
+
+@R.query("p8_containers")
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(packing.token_counts(table(spark, d, "documents")))
+
+
+@R.query("p8_fill")
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are, by twentieths of the capacity."""
+    fill = p8_containers(spark, d).where(F.col("container").isNotNull()).groupBy("container").agg(F.sum("n_tokens").alias("used"))
+    return fill.groupBy(F.floor(F.col("used") * 20 / packing.CAPACITY).alias("twentieths")).agg(F.count("*").alias("n_containers"), F.sum("used").alias("n_tokens"))
+
+
 # --- 9 ---------------------------------------------------------------------------------------------
 
 
