@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ferrule.plans import structure
+from ferrule.plans import retrieval, snapshots, statistics, structure, usage
 from ferrule.plans.registry import Registry
 
 
 def registries() -> list[Registry]:
-    return [structure.R]
+    return [structure.R, statistics.R, snapshots.R, usage.R, retrieval.R]
