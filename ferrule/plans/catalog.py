@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ferrule.plans import retrieval, scalars, snapshots, statistics, structure, usage
+from ferrule.plans import extraction, graph, retrieval, scalars, snapshots, statistics, structure, usage
 from ferrule.plans.registry import Registry
 
 
 def registries() -> list[Registry]:
-    return [structure.R, statistics.R, snapshots.R, usage.R, retrieval.R, scalars.R]
+    return [structure.R, statistics.R, snapshots.R, usage.R, retrieval.R, scalars.R, graph.R, extraction.R]
