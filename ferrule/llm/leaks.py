@@ -101,8 +101,9 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     ``documents``: ``doc_id, text``; ``items``: ``item_id, text``; ids are unique bigints. Texts that
     are null, empty or shorter than the window match nothing. Whole texts are read. Rarity is counted
     over all documents; Spark broadcasts the items' shingles only while they are small, else both sides
-    are shuffled by shingle. Documents with equal text are each reported.
+    are shuffled by shingle. Documents with equal text are each reported; rows without id are left out.
     """
+    documents, items = documents.where(F.col("doc_id").isNotNull()), items.where(F.col("item_id").isNotNull())
     schema = "id long, h long, at int, n_words int"
     of_docs = documents.select("doc_id", "text").mapInArrow(_positions, schema)
     of_items = items.select(F.col("item_id").cast("long"), "text").mapInArrow(_positions, schema)

@@ -231,11 +231,13 @@ def nearest(rows: DataFrame, fields: list[str], k: int = K, least: float = 0.0,
     element_id the latest counts, and ids here are ``row_id``. With ``least`` only pairs of at least that
     cosine are searched for. ``ask`` (from a column to a condition on a row_id) restricts the queries, never the
     collection. Vectors that are null, of another length, not finite or zero take no part. Of equal
-    vectors each finds the first ``k`` others of its run. An empty table gives no rows.
+    vectors each finds the first ``k`` others of its run. Rows without
+    row_id are left out; an empty table gives no rows.
     """
     from ferrule.sources.tables import latest_per_key
 
     spark = rows.sparkSession
+    rows = rows.where(F.col("row_id").isNotNull())
     centres = centre(packed_vectors(rows, fields), fields)
     now = latest_per_key(packed_vectors(rows, fields), ["element_id"], ["indexed_at", "row_id"])
     vectors = now.select(F.explode(F.array(*[F.struct(F.lit(i).alias("field"), F.col("row_id").alias("id"), F.col(f).alias("vec")) for i, f in enumerate(fields)])).alias("x")).select("x.*").where(F.col("vec").isNotNull())
