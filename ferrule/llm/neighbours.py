@@ -203,7 +203,7 @@ def _searched(k: int, reach: int, least: float, trees: int, queries_only: bool):
                     held, seen = None, 0
                 part = (int(tree[lo]), ids[lo:hi], raw[lo:hi], ask[lo:hi])
                 held = part if held is None else (held[0], *(np.concatenate([x, y]) for x, y in zip(held[1:], part[1:])))
-                if len(held[1]) - seen >= 16 * BLOCK + reach:
+                if len(held[1]) - seen >= max(16 * BLOCK, 2 * reach) + reach:
                     out, held, seen = flush(held, seen, False)
                     if out is not None:
                         yield out
