@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrule.session import cut
+
 #: A limit is a length that has at least so many texts of a source, and so many times the mean of its surroundings.
 LEAST_AT_LIMIT = 6
 LEAST_SHARE = 0.01
@@ -23,26 +25,26 @@ AROUND = 25
 BYTE_SLACK = 3
 
 
-def _count(c: Column, chars: str) -> Column:
-    """How many of ``chars`` a text has."""
-    return F.length(c) - F.length(F.translate(c, chars, ""))
+MEASURES = ("chars", "bytes", "utf16", "entities", "entities_bytes", "json", "json_bytes", "json_ascii", "crlf", "crlf_bytes", "lf")
+_CONTROL = re.compile(r"[\x00-\x07\x0b\x0e-\x1f]")
 
 
-def measures(text: str) -> dict[str, Column]:
-    """Lengths of a text in characters and bytes, as it is, escaped for entities or JSON, or with CRLF."""
-    c = F.col(text)
-    chars, size = F.length(c), F.octet_length(c)
-    control = "".join(chr(x) for x in range(32) if chr(x) not in "\b\f\n\r\t")
-    entities = 4 * _count(c, "&'") + 3 * _count(c, "<>") + 5 * _count(c, '"')
-    json_ = _count(c, '"\\\b\f\n\r\t') + 5 * _count(c, control)
-    wide = F.length(F.regexp_replace(c, r"[\x00-\x7f]", ""))
-    pairs = F.length(F.regexp_replace(c, r"[^\x{10000}-\x{10ffff}]", ""))
-    crlf = F.length(F.regexp_replace(c, "\r\n", "\n"))
-    breaks = _count(c, "\n") - (chars - crlf)
-    return {
-        "chars": chars, "bytes": size, "utf16": chars + pairs, "entities": chars + entities, "entities_bytes": size + entities, "json": chars + json_, "json_bytes": size + json_,
-        "json_ascii": chars + json_ + 5 * wide + 6 * pairs, "crlf": chars + breaks, "crlf_bytes": size + breaks, "lf": crlf,
-    }
+def lengths(text: str) -> tuple[int, ...]:
+    """Lengths of a text in characters and bytes, as it is, escaped for entities or JSON, or with other line ends."""
+    chars = len(text)
+    size = wide = pairs = 0
+    if text.isascii():
+        size = chars
+    else:
+        size = len(text.encode("utf-8", "surrogatepass"))
+        wide = chars - len(text.encode("ascii", "ignore"))
+        pairs = len(text.encode("utf-16-le", "surrogatepass")) // 2 - chars
+    n = text.count
+    entities = 4 * (n("&") + n("'")) + 3 * (n("<") + n(">")) + 5 * n('"')
+    escaped = sum(map(n, '"\\\b\f\n\r\t')) + 5 * len(_CONTROL.findall(text))
+    pair_ends = n("\r\n")
+    bare = n("\n") - pair_ends
+    return chars, size, chars + pairs, chars + entities, size + entities, chars + escaped, size + escaped, chars + escaped + 5 * wide + 6 * pairs, chars + bare, size + bare, chars - pair_ends
 
 
 # Fixed lists: words that open or join sentences; a line that is one of them, or begins to be, is no signature.
@@ -81,8 +83,13 @@ def ending(text: str | None) -> str:
         return "cut"
     tail = re.split(r"(?<=[.!?])[\"'»”’)\]*_`]*[ \t]+", last)[-1]
     if body.endswith(("…", "...")):
-        return "open" if _TO_COME.search(last if alone else tail) and len(last.split()) <= 9 else "cut"
-    if _LINK.search(tail) or _SIGNED.match(last) or _SIGNED.match(tail) or re.search(r"(?:^|[.!?] )[-*] \S+(?: \S+){0,3}$", last):
+        ours = _TO_COME.search(last if alone else tail) and len(last.split()) <= 9  # the author's own dots
+        return "cut" if not ours else "complete" if body.endswith("...") else "open"
+    if _LINK.search(tail):
+        return "complete" if re.search(r"[^/:]/[\w.#?=&%~-]{3,}>?$|[)>]$|@\S+\.\w{2,}$", tail) else "open"
+    if _SIGNED.match(last) or _SIGNED.match(tail):
+        return "complete"
+    if re.search(r"(?:^|[.!?] )[-*] \S+(?: \S+){0,3}$", last):
         return "open"
     if _ITEM.match(lines[-1]):
         return "open"
@@ -102,18 +109,25 @@ def ending(text: str | None) -> str:
 
 def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([ending(t) for t in b.column(b.num_columns - 1).to_pylist()], pa.string())], names=[*b.schema.names[:-1], "ending"])
+        texts = b.column(2).to_pylist()
+        sizes = [lengths(t) if t is not None else (None,) * len(MEASURES) for t in texts]
+        cols = [pa.array([x[k] for x in sizes], pa.int32()) for k in range(len(MEASURES))]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, pa.array([ending(t) for t in texts], pa.string())], names=["doc_id", "source", *[f"len_{k}" for k in MEASURES], "ending"])
+
 
+def measured(documents: DataFrame) -> DataFrame:
+    """``doc_id, source``, the lengths and the ending of every row of ``doc_id, source, text``, in one pass."""
+    return documents.select("doc_id", "source", "text").mapInArrow(_endings, "doc_id long, source string, " + ", ".join(f"len_{k} int" for k in MEASURES) + ", ending string")
 
-def limits(documents: DataFrame) -> DataFrame:
-    """``source, measure, at_limit, n_at, n_source``: the hidden limits.
+
+def limits(rows: DataFrame) -> DataFrame:
+    """``source, measure, at_limit, n_at, n_source``: the hidden limits in rows of :func:`measured`.
 
     Lengths are counted by source, measure and length before anything is compared; the counts of a
     source are as many as it has different lengths.
     """
-    m = measures("text")
-    lengths = documents.where(F.col("text").isNotNull()).select("source", F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), v.cast("int").alias("len")) for k, v in m.items()])).alias("m")).select("source", "m.*")
-    counts = lengths.groupBy("source", "measure", "len").agg(F.count("*").alias("n"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(f"len_{k}").alias("len")) for k in MEASURES]))
+    counts = rows.where(F.col("len_chars").isNotNull()).select("source", pairs.alias("m")).groupBy("source", "m.measure", "m.len").agg(F.count("*").alias("n"))
     w = Window.partitionBy("source", "measure").orderBy("len")
     slack = F.when(F.col("measure").endswith("bytes"), F.sum("n").over(w.rangeBetween(-BYTE_SLACK, 0))).otherwise(F.col("n"))
     seen = counts.select(
@@ -133,18 +147,14 @@ def truncated(documents: DataFrame) -> DataFrame:
     Null and empty texts are complete; a null source is a source of its own. ``at_limit`` names a
     measure whose hidden limit the text has reached, null if none.
     """
-    m = measures("text")
-    docs = documents.select("doc_id", "source", "text", *[v.cast("int").alias(f"len_{k}") for k, v in m.items()])
-    judged = docs.select("doc_id", "source", *[f"len_{k}" for k in m], "text").mapInArrow(
-        _endings, "doc_id long, source string, " + ", ".join(f"len_{k} int" for k in m) + ", ending string"
-    )
-    found = limits(documents).groupBy("source").agg(F.collect_set(F.struct("measure", "at_limit")).alias("limits"))
+    judged = cut(measured(documents))  # numbers only; read by the limits and by the result
+    found = limits(judged).groupBy("source").agg(F.collect_set(F.struct("measure", "at_limit")).alias("limits"))
 
     def reaches(k: str) -> Column:
         slack = BYTE_SLACK if k.endswith("bytes") else 0
         return F.exists("limits", lambda x: (x["measure"] == k) & F.col(f"len_{k}").between(x["at_limit"] - slack, x["at_limit"]))
 
-    reached = F.coalesce(*[F.when(reaches(k), F.lit(k)) for k in m])
+    reached = F.coalesce(*[F.when(reaches(k), F.lit(k)) for k in MEASURES])
     # a source's limits are a handful of numbers; null sources meet by the null-safe comparison
     out = judged.join(F.broadcast(found.withColumnRenamed("source", "limit_source")), F.col("source").eqNullSafe(F.col("limit_source")), "left").withColumn("at_limit", reached)
     return out.select("doc_id", "source", "ending", "at_limit", ((F.col("ending") == "cut") | ((F.col("ending") == "open") & F.col("at_limit").isNotNull())).alias("is_cut"))

@@ -203,4 +203,4 @@ def p10_sources(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("p10_limits")
 def p10_limits(spark: SparkSession, d: str) -> DataFrame:
-    return endings.limits(table(spark, d, "documents"))
+    return endings.limits(endings.measured(table(spark, d, "documents")))

@@ -254,14 +254,27 @@ def test_leaks_match_brute_force(spark):
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        ("All is said.", "complete"), ("It stops in the mid", "cut"), ("It stops [...]", "cut"), ("Code:\n```\nx = 1", "cut"), ("Code:\n```\nx = 1\n```", "complete"), ("Done.\n\nSigned-off-by: Ann", "open"), ("Done. https://a.example/b", "open"), ("List:\n\n- one\n- two", "open"), ("Done.\n\nBruno", "open"),
-        ("Done.\n\nWenn", "cut"), ("More in the next part...", "open"), ("The pending walker must...", "cut"), ("A table.\n\n| a | 1 |", "complete"), (None, "complete"), ("", "complete"), ("Is it?\n", "complete"), ("She said \"no.\"", "complete"), ("broken \ufffd", "cut"), ("Done. Refs: #12", "open"),
+        ("All is said.", "complete"), ("It stops in the mid", "cut"), ("It stops [...]", "cut"), ("Code:\n```\nx = 1", "cut"), ("Code:\n```\nx = 1\n```", "complete"), ("Done.\n\nSigned-off-by: Ann", "complete"), ("Done. https://a.example/bcd", "complete"), ("Done. https://a.exam", "open"), ("List:\n\n- one\n- two", "open"), ("Done.\n\nBruno", "open"),
+        ("Done.\n\nWenn", "cut"), ("More in the next part...", "complete"), ("More in the next…", "open"), ("The pending walker must...", "cut"), ("A table.\n\n| a | 1 |", "complete"), (None, "complete"), ("", "complete"), ("Is it?\n", "complete"), ("She said \"no.\"", "complete"), ("broken \ufffd", "cut"), ("Done. Refs: #12", "complete"),
     ],
 )
 def test_endings(text, want):
     assert endings.ending(text) == want
 
 
+def test_lengths():
+    import html
+    import json
+
+    for t in ("", "plain", "a\r\nb\nc\t\x01\"\\\\<&'>", "é\U0001f600\u2028x\n"):
+        got = dict(zip(endings.MEASURES, endings.lengths(t)))
+        crlf = t.replace("\r\n", "\n").replace("\n", "\r\n")
+        want = {"chars": len(t), "bytes": len(t.encode()), "utf16": len(t.encode("utf-16-le")) // 2, "json": len(json.dumps(t, ensure_ascii=False)) - 2, "json_bytes": len(json.dumps(t, ensure_ascii=False).encode()) - 2, "json_ascii": len(json.dumps(t)) - 2, "crlf": len(crlf), "crlf_bytes": len(crlf.encode()), "lf": len(t.replace("\r\n", "\n"))}
+        want["entities"] = len(html.escape(t).replace("&#x27;", "&#39;"))
+        want["entities_bytes"] = len(html.escape(t).replace("&#x27;", "&#39;").encode())
+        assert got == want
+
+
 def test_truncated(spark):
     rng = random.Random(8)
     rows = []
@@ -275,6 +288,6 @@ def test_truncated(spark):
     got = {r["doc_id"]: r for r in endings.truncated(df).collect()}
     assert all(got[i]["is_cut"] for i in range(1, 200, 2)) and not any(got[i]["is_cut"] for i in range(0, 200, 2))
     assert not got[900]["is_cut"] and not got[901]["is_cut"] and not got[902]["is_cut"] and len(got) == len(rows)
-    limits = {(r["source"], r["measure"], r["at_limit"]) for r in endings.limits(df).collect()}
+    limits = {(r["source"], r["measure"], r["at_limit"]) for r in endings.limits(endings.measured(df)).collect()}
     assert ("capped", "chars", 120) in limits and not any(s == "free" for s, _, _ in limits)
     assert endings.truncated(spark.createDataFrame([], "doc_id long, source string, text string")).count() == 0
