@@ -57,7 +57,7 @@ _OPENERS = {w.casefold() for w in FUNCTION_WORDS}
 _MARK = re.compile(r"(?:\[(?:\.\.\.|…|truncated|cut|snip(?:ped)?|more|continued|gekürzt|tronqué|cortado)\]|\((?:\.\.\.|…|truncated|cut(?: off)?|continued|more|shortened|gekürzt|abgeschnitten|tronqué|truncado)\)|<(?:truncated|snip|cut|more)>|\b(?:read|show|see) more)[\s.…]*$", re.I)
 _TO_COME = re.compile(r"\b(?:more|continue[sd]?|instal+ments?|next|soon|etc|so on|stay tuned|coming|later|follows?|folgt|fortsetzung|mehr|suite|suivre|continuará|sigue|próxim\w+|más)\b", re.I)
 _END = re.compile(r"[.!?。！？][\"'»”’)\]*_`]*$")
-_SIGNED = re.compile(r"^(?:[\w-]+-by:\s*\S|(?:refs?|fixes|closes|resolves|see(?: also)?|cc|related|issue|ticket|reviewed|author|tags?|labels?)\s*(?:[:#]|to\b)|--?\s?\S|—\s*\S|[*_]?(?:regards|cheers|thanks|best|sincerely|yours|gruß|grüße|saludos|cordialement)\b)", re.I)
+_SIGNED = re.compile(r"^(?:[\w-]+-by:\s*\S|(?:refs?|fixes|closes|resolves|see(?: also)?|cc|related|issue|ticket|reviewed|author|tags?|labels?)\s*(?:[:#]|to\b)|--\s?\S|—\s*\S|[*_]?(?:regards|cheers|thanks|best|sincerely|yours|gruß|grüße|saludos|cordialement)\b)", re.I)
 _LINK = re.compile(r"(?:<?(?:https?|ftp)://\S+>?|www\.\S+|\[[^\]]*\]\([^)]*\)|\S+@\S+\.\w+)$")
 _ITEM = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+\S")
 _NAME = re.compile(r"^(?:[^\W\d_][\w.'’-]*)(?:[ ,]+[^\W\d_][\w.'’-]*){0,3}$")
