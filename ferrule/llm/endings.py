@@ -81,21 +81,22 @@ def ending(text: str | None) -> str:
         return "complete"
     if _MARK.search(body):
         return "cut"
-    tail = re.split(r"(?<=[.!?])[\"'»”’)\]*_`]*[ \t]+", last)[-1]
+    near = last[-600:]  # patterns that look for a begin are kept to the last few words
+    tail = re.split(r"(?<=[.!?])[\"'»”’)\]*_`]*[ \t]+", near)[-1]
     if body.endswith(("…", "...")):
         ours = _TO_COME.search(last if alone else tail) and len(last.split()) <= 9  # the author's own dots
         return "cut" if not ours else "complete" if body.endswith("...") else "open"
-    if _LINK.search(tail):
-        return "complete" if re.search(r"[^/:]/[\w.#?=&%~-]{3,}>?$|[)>]$|@\S+\.\w{2,}$", tail) else "open"
+    if _LINK.search(tail[-300:]):
+        return "complete" if re.search(r"[^/:]/[\w.#?=&%~-]{3,}>?$|[)>]$|@\S+\.\w{2,}$", tail[-300:]) else "open"
     if _SIGNED.match(last) or _SIGNED.match(tail):
         return "complete"
-    if re.search(r"(?:^|[.!?] )[-*] \S+(?: \S+){0,3}$", last):
+    if re.search(r"(?:^|[.!?] )[-*] \S+(?: \S+){0,3}$", near):
         return "open"
     if _ITEM.match(lines[-1]):
         return "open"
     if _END.search(body):
         return "complete"
-    if re.search(r"\|\s*[^|]*\s*\|$", last) and last.count("|") > 2:
+    if re.search(r"\|[^|]*\|$", near) and near.count("|") > 2:
         return "complete"
     if re.match(r"#{1,6}\s", last):
         return "open"

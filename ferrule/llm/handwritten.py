@@ -48,7 +48,8 @@ _MIN_PATH = re.compile(r"[.-](?:min|bundle|pack|prod)\.(?:js|mjs|css|ts)$", re.I
 #: A foreign project's name, version and owner above its code.
 _LICENSED = re.compile(r"^\W*(?:[\w@./-]+\s+v?\d+\.\d+(?:\.\d+)?\b.*(?:\(c\)|©|copyright|licen[cs]e)|.*\blicen[cs]ed?\b.*\bupstream\b|.*\bsee\s+upstream\b|@license\b.*v?\d+\.\d+)", re.I)
 _NUMBERED = re.compile(r"^\s*(?:[\w]+\s+){0,5}([A-Za-z_]\w*?)_?(\d+)\s*\(", re.M)
-_LITERAL = re.compile(r"^\s*(?:[\[({]\s*)*(?:(?:[rbuf]?\"(?:[^\"\\]|\\.)*\"|[rbuf]?'(?:[^'\\]|\\.)*'|[-+]?(?:0[xX][\da-fA-F_]+|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?)[a-zA-Z0-9_]{0,3}|true|false|null|none|nil|True|False|None)\s*(?:[,;:+.]|=>|[\])}]|\s)*\s*(?:[\[({]\s*)*)+$")
+_LITERAL = re.compile(r"[rbuf]?\"(?:[^\"\\]|\\.)*\"|[rbuf]?'(?:[^'\\]|\\.)*'|(?<![\w$])[-+]?(?:0[xX][\da-fA-F_]+|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?)(?:[a-zA-Z]\w{0,2})?(?!\w)|(?<![\w$])(?:true|false|null|none|nil|True|False|None)(?!\w)")
+_REST = re.compile(r"[^\s,;:+.=>\[\](){}-]")
 
 
 def comment_text(line: str) -> str | None:
@@ -97,7 +98,7 @@ def kind(text: str | None, path: str | None) -> str | None:
     if _serial(code):
         return "generated"
     size = sum(map(len, code))
-    literal = [x for x in code if len(x) < 20_000 and _LITERAL.match(x) or len(x) >= 20_000 and _dense(x)]
+    literal = [x for x in code if _is_literal(x)]
     if len(code) >= 8 and len(literal) >= 0.8 * len(code) or size >= 1500 and sum(map(len, literal)) >= 0.9 * size and len(literal) >= 2:
         return "data"
     if _minified(code, size, path):
@@ -122,8 +123,10 @@ def _serial(code: list[str]) -> bool:
     return n >= 4 and numbers == list(range(numbers[0], numbers[0] + n)) and sum(v for v in shapes.values() if v >= n - 1) >= 0.7 * len(code)
 
 
-def _dense(line: str) -> bool:
-    return not re.search(r"[A-Za-z_]\w*\s*\(", line[:5000])
+def _is_literal(line: str) -> bool:
+    """Whether a line is nothing but literals and punctuation."""
+    rest, n = _LITERAL.subn("", line)
+    return n > 0 and not _REST.search(rest)
 
 
 def _minified(code: list[str], size: int, path: str | None) -> bool:
