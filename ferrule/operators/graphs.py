@@ -14,7 +14,7 @@ def chain(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
     ``edges``: ``src, dst``. Each step joins only the newest nodes with the edges and drops those seen
     before, so loops end and no path is enumerated.
     """
-    edges = edges.select("src", "dst").where(F.col("src").isNotNull() & F.col("dst").isNotNull()).distinct()
+    edges = edges.select("src", "dst").where(F.col("src").isNotNull() & F.col("dst").isNotNull())
     seen = cut(starts.select("id").distinct().withColumn("depth", F.lit(0)))
     newest = seen
     for k in range(1, max_depth + 1):

@@ -18,35 +18,39 @@ KEYWORD_LIMIT = 8191
 
 
 def bm25(df: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
-    """``key, score`` of the rows that have a term: BM25 with k1 1.2 and b 0.75.
+    """``key, score`` of the rows that have a term in ``text``: BM25 with k1 1.2 and b 0.75."""
+    return best_fields(df, key, {text: 1.0}, terms)
 
-    Term counts are taken row by row; only one row of counts is aggregated for the whole table. Null and
-    empty texts are no documents.
+
+def best_fields(df: DataFrame, key: str, fields: dict[str, float], terms: list[str]) -> DataFrame:
+    """``key, score`` of the rows that have a term: the greatest of the fields' boosted BM25 scores.
+
+    Term counts of all fields are taken row by row in one pass; only one row of counts is aggregated for
+    the whole table. Null and empty texts are no documents of their field.
     """
-    docs = df.select(F.col(key), tokens(F.col(text)).alias("ts")).where(F.size("ts") > 0)
-    counted = docs.select(key, F.size("ts").alias("dl"), *[F.size(F.filter("ts", _equals(t))).alias(f"tf{i}") for i, t in enumerate(terms)])
-    whole = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = F.ln(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        score = score + idf * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    some = F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(0)) > 0
-    return counted.where(some).join(F.broadcast(whole)).select(key, score.alias("score"))  # one row is broadcast
+    lists = df.select(F.col(key), *[tokens(F.col(f)).alias(f"ts{j}") for j, f in enumerate(fields)])
+    n = range(len(fields))
+    counted = lists.select(
+        key, *[F.when(F.size(f"ts{j}") > 0, F.size(f"ts{j}")).alias(f"dl{j}") for j in n], *[F.coalesce(F.size(F.filter(f"ts{j}", _equals(t))), F.lit(0)).alias(f"tf{j}_{i}") for j in n for i, t in enumerate(terms)]
+    )
+    whole = counted.agg(*[F.count(f"dl{j}").alias(f"n{j}") for j in n], *[F.avg(f"dl{j}").alias(f"avgdl{j}") for j in n], *[F.count_if(F.col(f"tf{j}_{i}") > 0).alias(f"df{j}_{i}") for j in n for i in range(len(terms))])
+    scores = []
+    for j, boost in enumerate(fields.values()):
+        score = F.lit(0.0)
+        for i in range(len(terms)):
+            tf, found = F.col(f"tf{j}_{i}"), F.col(f"df{j}_{i}")
+            idf = F.ln(1 + (F.col(f"n{j}") - found + 0.5) / (found + 0.5))
+            score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col(f"dl{j}") / F.col(f"avgdl{j}")))
+        some = F.greatest(*[F.col(f"tf{j}_{i}") for i in range(len(terms))], F.lit(0)) > 0
+        scores.append(F.when(some, score * boost))
+    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
+    return counted.join(F.broadcast(whole)).select(key, best.alias("score")).where(F.col("score").isNotNull())  # one row is broadcast
 
 
 def _equals(t: str):
     return lambda x: x == F.lit(t)
 
 
-def best_fields(df: DataFrame, key: str, fields: dict[str, float], terms: list[str]) -> DataFrame:
-    """``key, score``: the greatest of the fields' boosted BM25 scores."""
-    parts = [bm25(df, key, f, terms).withColumn("score", F.col("score") * w) for f, w in fields.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy(key).agg(F.max("score").alias("score"))
-
-
 def fuzzy_terms(df: DataFrame, text: str, term: str) -> DataFrame:
     """``token, n``: tokens of the table within the edits that a term of its length allows (0 to 2, 3 to 5: 1, else 2)."""
     most = 0 if len(term) <= 2 else 1 if len(term) <= 5 else 2
