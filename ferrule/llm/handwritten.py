@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Texts with fewer characters, or fewer lines that aren't blank unless they are long, are tiny.
@@ -223,7 +223,7 @@ def subtree_hashes(files: DataFrame) -> DataFrame:
     return rows.groupBy("repository", "username", "folder").agg(F.sum(F.col("h").cast("decimal(20,0)")).alias("subtree"), F.count("*").alias("n"))
 
 
-def not_handwritten(files: DataFrame, band_salt: int = 8) -> DataFrame:
+def not_handwritten(files: DataFrame) -> DataFrame:
     """``repository, username, relative_path, kind`` of the files that nobody wrote for their repository.
 
     ``files``: these columns with ``language`` and ``text``, a row for each file. Kinds: ``generated``,
