@@ -83,8 +83,8 @@ def pattern_terms(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("incomplete_files", f"WITH {CUR} SELECT repository, username, relative_path, count(*) AS n_incomplete FROM cur WHERE element_type IN ('function', 'method') AND docstring IS NOT NULL AND trim(docstring) <> '' AND (summary_embedding IS NULL OR code_embedding IS NULL) GROUP BY 1, 2, 3")
 def incomplete_files(spark: SparkSession, d: str) -> DataFrame:
-    rows = current_elements(spark, d, "repository", "username", "relative_path", "element_type", "docstring", F_NULL := "summary_embedding", "code_embedding")
-    return rows.where(F.col("element_type").isin("function", "method") & (F.trim("docstring") != "") & (F.col(F_NULL).isNull() | F.col("code_embedding").isNull())).groupBy("repository", "username", "relative_path").agg(F.count("*").alias("n_incomplete"))
+    rows = current_elements(spark, d, "repository", "username", "relative_path", "element_type", "docstring", "summary_embedding", "code_embedding")
+    return rows.where(F.col("element_type").isin("function", "method") & (F.trim("docstring") != "") & (F.col("summary_embedding").isNull() | F.col("code_embedding").isNull())).groupBy("repository", "username", "relative_path").agg(F.count("*").alias("n_incomplete"))
 
 
 @R.query("index_stats", f"WITH {CUR} SELECT count(*) AS n, round(100.0 * count(summary_embedding) / count(*), 4) AS summary_pct, round(100.0 * count(code_embedding) / count(*), 4) AS code_pct, count(*) FILTER (len(summary_embedding) = 64) AS n_full FROM cur")
