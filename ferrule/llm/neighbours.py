@@ -10,6 +10,7 @@ scored where they lie, and the trees' best are merged.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,13 @@ K = 10
 TREES = 7
 #: Places that the search goes out in either direction, at least.
 REACH = 512
+#: Queries, and scores, that are worked on at a time.
 BLOCK = 512
-#: Vectors read to find the centre; the bound keeps the fit the same at every size of the collection.
+SCORES = 1 << 23
+#: Cells of each array, and places that a part of it holds, at most.
+CELLS = 1024
+PART = 1 << 17
+#: Vectors read to find the centre and the cells; the bound keeps the fit the same at every size of the collection.
 CENTRE_SAMPLE = 10_000
 SEED = 20_240_601
 _SCALE = 2047.0  # 12 bits a component
@@ -92,136 +98,225 @@ def packed_vectors(rows: DataFrame, fields: list[str]) -> DataFrame:
     return rows.select("element_id", "row_id", "indexed_at", *fields).mapInArrow(_packed(fields), schema + "".join(f", {f} binary" for f in fields))
 
 
-def _hashed(trees: int, centres: dict[str, list[float]]):
+def codes(x: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """The signs of the projections, first bit highest."""
+    return ((x @ turn > 0) * (np.uint64(1) << np.arange(DIM - 1, -1, -1, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
+
+
+def keys(code: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """What an array is sorted by: the bit string, then the vector's bytes, so that copies stand together."""
+    both = np.concatenate([code.astype(">u8").view(np.uint8).reshape(-1, 8), raw], axis=1)
+    return np.ascontiguousarray(both).view(f"S{both.shape[1]}").ravel()
+
+
+class Forest(NamedTuple):
+    """What tasks know of the trees: each one's array is cut into cells at ``bounds``."""
+
+    centres: np.ndarray
+    bounds: list[np.ndarray]
+
+
+class Plan(NamedTuple):
+    """Of each cell: the places lo..hi it holds, its part, the places low..high that its vectors search, and the parts these lie in; of each part: its first place."""
+
+    part: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    start: np.ndarray
+
+
+def fit(vectors: DataFrame, n_fields: int, trees: int, sample: int = CENTRE_SAMPLE) -> Forest:
+    """From about ``sample`` vectors of each field: its mean and the cells' bounds. Both only balance the trees and the work."""
+    n = {r["field"]: r["count"] for r in vectors.groupBy("field").count().collect()}
+    centres, bounds = np.zeros((n_fields, DIM), np.float32), []
+    for f in range(n_fields):
+        some = F.pmod(F.xxhash64("id"), F.lit(-(-n.get(f, 1) // sample))) == 0
+        rows = vectors.where((F.col("field") == f) & some).select("id", "vec").toPandas().sort_values("id")["vec"]
+        raw = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), DIM // 2 * 3)
+        x = unpack(raw)
+        if len(x):
+            centres[f] = x.mean(axis=0)
+        for turn in rotations(trees):
+            k = np.unique(keys(codes(x - centres[f], turn), raw))
+            bounds.append(k[np.unique(np.linspace(0, len(k), CELLS, endpoint=False).astype(int))[1:]] if len(k) else k)
+    return Forest(centres, bounds)
+
+
+def _in_cells(b: pa.RecordBatch, forest: Forest, trees: int):
+    """For each tree of each field: its number, the rows of the batch that it holds, their cells, codes."""
+    turn = rotations(trees)
+    field = b.column(0).to_numpy()
+    raw = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+    x = unpack(raw) - forest.centres[field]
+    for f in np.unique(field).tolist():
+        rows = np.flatnonzero(field == f)
+        for t in range(trees):
+            code = codes(x[rows], turn[t])
+            tree = f * trees + t
+            yield rows, tree * CELLS + np.searchsorted(forest.bounds[tree], keys(code, raw[rows]), side="right"), code
+
+
+def _counted(trees: int, forest: Forest):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(forest.bounds) * CELLS, np.int64)
+        for b in batches:
+            if b.num_rows:
+                for _, cell, _ in _in_cells(b, forest, trees):
+                    n += np.bincount(cell, minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["cell", "n"])
+
+    return run
+
+
+def planned(counts: np.ndarray, n_trees: int, parts: int, reach: int) -> Plan:
+    """Cuts every tree at cells into parts of about the same number of places, at least ``parts`` in all."""
+    part, low, high, first, last = (np.zeros(n_trees * CELLS, np.int64) for _ in range(5))
+    start: list[int] = []
+    for t in range(n_trees):
+        here = slice(t * CELLS, (t + 1) * CELLS)
+        hi = np.cumsum(counts[here])
+        lo, total = hi - counts[here], int(hi[-1])
+        if not total:
+            continue
+        m = max(1, -(-parts // n_trees), -(-total // PART))
+        _, own = np.unique(lo * m // total, return_inverse=True)
+        # cells without vectors at the end have lo = total: they go with the part before
+        used = own[counts[here] > 0]
+        names, own = np.unique(used), np.searchsorted(np.unique(used), own).clip(max=len(np.unique(used)) - 1)
+        begins = np.array([lo[(own == k) & (counts[here] > 0)].min() for k in range(len(names))])
+        low[here], high[here] = np.maximum(lo - reach, 0), np.minimum(hi + reach, total)
+        part[here] = own + len(start)
+        first[here] = np.searchsorted(begins, low[here], side="right") - 1 + len(start)
+        last[here] = np.searchsorted(begins, high[here], side="left") - 1 + len(start)
+        start += begins.tolist()
+    return Plan(part, low, high, first, last, np.array(start, np.int64))
+
+
+def _placed(trees: int, forest: Forest, plan: Plan):
+    """Every vector to the part that holds its place, and as a query to all other parts that its window reaches into."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = rotations(trees)
-        shift = np.uint64(1) << np.arange(DIM - 1, -1, -1, dtype=np.uint64)
-        names = list(centres)
         for b in batches:
             if not b.num_rows:
                 continue
-            field, ids, vec = (b.column(k) for k in range(3))
-            x = unpack(np.frombuffer(b"".join(vec.to_pylist()), np.uint8).reshape(b.num_rows, -1))
-            f = field.to_numpy(zero_copy_only=False)
-            x = x - np.asarray([centres[n] for n in names], np.float32)[f]
-            for t in range(trees):
-                code = ((x @ turn[t] > 0) * shift).sum(axis=1, dtype=np.uint64)
-                code ^= np.uint64(1) << np.uint64(63)  # signed order is that of the bit strings
-                yield pa.RecordBatch.from_arrays([pa.array(f * trees + t, pa.int32()), pa.array(code.view(np.int64)), ids, vec], names=["tree", "code", "id", "vec"])
+            ask = b.column(3).to_numpy(zero_copy_only=False)
+            for rows, cell, code in _in_cells(b, forest, trees):
+                own, first, last = plan.part[cell], plan.first[cell], plan.last[cell]
+                n = np.where(ask[rows], last - first + 1, 0)
+                at = np.repeat(np.arange(len(rows)), n)
+                to = np.repeat(first, n) + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+                away = to != own[at]
+                at, to = np.concatenate([np.arange(len(rows)), at[away]]), np.concatenate([own, to[away]])
+                guest = np.arange(len(at)) >= len(rows)
+                signed = (code[at] ^ (np.uint64(1) << np.uint64(63))).view(np.int64)  # signed order is that of the bit strings
+                take = pa.array(rows[at])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(to, pa.int32()), pa.array(guest), pa.array(cell[at], pa.int32()), pa.array(signed), b.column(1).take(take), b.column(2).take(take), b.column(3).take(take)],
+                    names=["part", "guest", "cell", "code", "id", "vec", "ask"],
+                )
 
     return run
 
 
-def _searched(k: int, reach: int, least: float, trees: int, queries_only: bool):
-    """Scores every vector of the sorted arrays against those within reach, block by block."""
+def _searched(k: int, least: float, trees: int, plan: Plan):
+    """Scores the queries of each part against the part's vectors in their windows, cell by cell."""
 
-    def search(tree: int, ids: np.ndarray, raw: np.ndarray, ask: np.ndarray, lo: int, hi: int):
-        """Pairs of the vectors lo..hi of a stretch of one array, with the whole stretch as candidates."""
+    def search(part: int, guest: np.ndarray, cell: np.ndarray, ids: np.ndarray, raw: np.ndarray, ask: np.ndarray):
         same = np.zeros(len(ids), bool)
-        same[1:] = (raw[1:] == raw[:-1]).all(axis=1)
+        same[1:] = (raw[1:] == raw[:-1]).all(axis=1) & (guest[1:] == guest[:-1]) & (cell[1:] == cell[:-1])
         heads = np.flatnonzero(~same)  # copies stand together; one of each takes part
-        run = np.cumsum(~same) - 1
-        v = unpack(raw[heads])
         sizes = np.diff(np.append(heads, len(ids)))
-        a, b, s = [], [], []
-        for h in np.flatnonzero(sizes > 1):  # each copy with the first k others of its run
-            members = np.arange(heads[h], heads[h] + sizes[h])
-            for j in range(min(k + 1, len(members))):
-                others = members[members != members[j]]
-                if j == k:
-                    others = others[others > members[j]]
-                a.append(ids[others])
-                b.append(np.full(len(others), ids[members[j]]))
-                s.append(np.ones(len(others), np.float32))
-        first, last = run[lo], run[hi - 1] + 1
-        for p in range(first, last, BLOCK):
-            q = min(p + BLOCK, last)
-            c, d = max(0, p - reach), min(len(v), q + reach)
-            rows = np.arange(p, q)
-            if queries_only:
-                rows = rows[np.logical_or.reduceat(ask, heads)[p:q]]
-                if not len(rows):
-                    continue
-            sims = v[rows] @ v[c:d].T
-            sims[np.arange(len(rows)), rows - c] = -2.0
-            if least <= 0:
-                kk = min(k, d - c - 1)
-                if kk <= 0:
-                    continue
-                top = np.argpartition(-sims, kk - 1, axis=1)[:, :kk]
-                i, j = np.repeat(np.arange(len(rows)), kk), top.ravel()
-            else:
-                i, j = np.nonzero(sims >= least - 2e-4)
-            if not len(i):
+        n = int((~guest[heads]).sum())  # guests come last
+        v = unpack(raw[heads[:n]])
+        a, b, s, f = [], [], [], []
+        own = np.flatnonzero(sizes[:n] > 1)
+        for h in own:  # each copy with the first k others of its run
+            members = ids[heads[h] : heads[h] + sizes[h]]
+            x, y = np.nonzero(~np.eye(len(members), dtype=bool))
+            a.append(members[x])
+            b.append(members[y])
+            s.append(np.ones(len(x), np.float32))
+            f.append(np.full(len(x), cell[heads[h]] // CELLS // trees))
+        asked = np.flatnonzero(np.logical_or.reduceat(ask, heads))
+        at = cell[heads[asked]]
+        cuts = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (guest[heads[asked]][1:] != guest[heads[asked]][:-1]))).tolist() if len(at) else []
+        for p, q in zip(cuts, [*cuts[1:], len(asked)]):
+            c, d = (int(np.clip(x[at[p]] - plan.start[part], 0, n)) for x in (plan.low, plan.high))
+            if d <= c:
                 continue
-            score = sims[i, j]
-            order = np.lexsort((-score, i))
-            i, j, score = i[order], j[order], score[order]
-            place = np.arange(len(i)) - np.searchsorted(i, i)
-            i, j, score = rows[i[place < k]], c + j[place < k], score[place < k]
-            mine, theirs = np.minimum(sizes[i], k + 1), np.minimum(sizes[j], k)
-            if (mine == 1).all() and (theirs == 1).all():
-                a.append(ids[heads[i]])
-                b.append(ids[heads[j]])
-                s.append(score)
-                continue
-            for x, y, z in zip(i, j, score):
-                if sizes[x] > k:  # its copies are its k most similar
+            step = max(1, min(BLOCK, SCORES // (d - c)))
+            for r in range(p, q, step):
+                rows = asked[r : min(r + step, q)]
+                home = rows[0] < n
+                sims = (v[rows] if home else unpack(raw[heads[rows]])) @ v[c:d].T
+                if home:
+                    sims[np.arange(len(rows)), rows - c] = -2.0
+                if least <= 0:
+                    kk = min(k, d - c - home)
+                    if kk <= 0:
+                        continue
+                    top = np.argpartition(-sims, kk - 1, axis=1)[:, :kk]
+                    i, j = np.repeat(np.arange(len(rows)), kk), top.ravel()
+                else:
+                    i, j = np.divmod(np.flatnonzero(sims >= np.float32(least - 2e-4)), d - c)
+                if not len(i):
                     continue
-                m, t = ids[heads[x] : heads[x] + sizes[x]], ids[heads[y] : heads[y] + min(sizes[y], k)]
-                a.append(np.repeat(m, len(t)))
-                b.append(np.tile(t, len(m)))
-                s.append(np.full(len(m) * len(t), z, np.float32))
-        if not a:
-            return None
-        a, b, s = np.concatenate(a), np.concatenate(b), np.concatenate(s)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), tree // trees), pa.int32()), pa.array(a), pa.array(b), pa.array(s, pa.float32())], names=["field", "a", "b", "sim"])
+                score = sims[i, j]
+                order = np.lexsort((-score, i))
+                i, j, score = i[order], j[order], score[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                i, j, score = rows[i[place < k]], c + j[place < k], score[place < k]
+                few = sizes[i] <= k  # the copies of a longer run are their k most similar
+                i, j, score = i[few], j[few], score[few]
+                many = sizes[i] * np.minimum(sizes[j], k)
+                x = np.repeat(np.arange(len(i)), many)
+                nth = np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many)
+                width = np.minimum(sizes[j], k)[x]
+                a.append(ids[heads[i[x]] + nth // width])
+                b.append(ids[heads[j[x]] + nth % width])
+                s.append(score[x])
+                f.append(np.full(len(x), at[p] // CELLS // trees))
+                if sum(map(len, a[-64:])) > 100_000 or len(a) > 4096:
+                    yield a, b, s, f
+                    a, b, s, f = [], [], [], []
+        if a:
+            yield a, b, s, f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen = None, 0  # a stretch of one array, and how much of it has been searched
+        held: list[tuple] = []
 
-        def flush(held, seen, final):
-            tree, ids, raw, ask = held
-            hi = len(ids) if final else max(seen, len(ids) - reach)
-            out = search(tree, ids, raw, ask, seen, hi) if hi > seen else None
-            keep = max(0, hi - reach)
-            return out, (tree, ids[keep:], raw[keep:], ask[keep:]), hi - keep
+        def flush():
+            if not held:
+                return
+            whole = [np.concatenate(x) for x in zip(*held)]
+            part = int(whole.pop(0)[0])
+            held.clear()
+            for a, b, s, f in search(part, *whole):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f), pa.int32()), pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(np.concatenate(s), pa.float32())], names=["field", "a", "b", "sim"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            tree = b.column(0).to_numpy()
-            ids = b.column(2).to_numpy()
-            raw = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-            ask = b.column(4).to_numpy(zero_copy_only=False)
-            bounds = np.flatnonzero(np.append(True, tree[1:] != tree[:-1])).tolist() + [len(tree)]
+            part, guest, cell, ids, ask = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4, 6))
+            raw = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            bounds = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist() + [len(part)]
             for lo, hi in zip(bounds, bounds[1:]):
-                if held is not None and held[0] != tree[lo]:
-                    out, _, _ = flush(held, seen, True)
-                    if out is not None:
-                        yield out
-                    held, seen = None, 0
-                part = (int(tree[lo]), ids[lo:hi], raw[lo:hi], ask[lo:hi])
-                held = part if held is None else (held[0], *(np.concatenate([x, y]) for x, y in zip(held[1:], part[1:])))
-                if len(held[1]) - seen >= max(16 * BLOCK, 2 * reach) + reach:
-                    out, held, seen = flush(held, seen, False)
-                    if out is not None:
-                        yield out
-        if held is not None:
-            out, _, _ = flush(held, seen, True)
-            if out is not None:
-                yield out
+                if held and held[-1][0][0] != part[lo]:
+                    yield from flush()
+                held.append(tuple(x[lo:hi] for x in (part, guest, cell, ids, raw, ask)))
+        yield from flush()
 
     return run
 
 
-def centre(packed: DataFrame, fields: list[str], sample: int = CENTRE_SAMPLE) -> dict[str, list[float]]:
-    """Mean of a bounded sample of each field; it only balances the trees."""
-    out = {}
-    for f in fields:
-        rows = packed.where(F.col(f).isNotNull()).select(f).limit(sample).toPandas()[f]
-        out[f] = unpack(np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)).mean(axis=0).tolist() if len(rows) else [0.0] * DIM
-    return out
+def _in_long_runs(vectors: DataFrame, kept: DataFrame, k: int) -> DataFrame:
+    """Of vectors with more than ``k`` copies, of which ``kept`` has the first ``k + 1``: every copy with the first ``k`` others."""
+    long_ = kept.where(F.col("copy") == k + 1).select("field", "vec")
+    first = kept.where(F.col("copy") <= k).join(long_, ["field", "vec"]).select("field", "vec", F.col("id").alias("b"))
+    return vectors.join(first, ["field", "vec"]).where(F.col("id") != F.col("b")).select("field", F.col("id").alias("a"), "b", F.lit(1.0).cast("float").alias("sim"))
 
 
 def nearest(rows: DataFrame, fields: list[str], k: int = K, least: float = 0.0, trees: int = TREES, reach: int = REACH, ask=None) -> DataFrame:
@@ -233,18 +328,32 @@ def nearest(rows: DataFrame, fields: list[str], k: int = K, least: float = 0.0,
     collection. Vectors that are null, of another length, not finite or zero take no part. Of equal
     vectors each finds the first ``k`` others of its run. Rows without
     row_id are left out; an empty table gives no rows.
+
+    ``reach`` holds wherever an array is cut: the places of each cell are counted first, and a query goes to
+    every part that its window reaches into. So the number of partitions changes no result.
     """
+    from ferrule.session import cut
     from ferrule.sources.tables import latest_per_key
 
     spark = rows.sparkSession
     rows = rows.where(F.col("row_id").isNotNull())
-    centres = centre(packed_vectors(rows, fields), fields)
     now = latest_per_key(packed_vectors(rows, fields), ["element_id"], ["indexed_at", "row_id"])
     vectors = now.select(F.explode(F.array(*[F.struct(F.lit(i).alias("field"), F.col("row_id").alias("id"), F.col(f).alias("vec")) for i, f in enumerate(fields)])).alias("x")).select("x.*").where(F.col("vec").isNotNull())
+    copies = vectors.withColumn("copy", F.row_number().over(Window.partitionBy("field", "vec").orderBy("id")))
+    kept = cut(copies.where(F.col("copy") <= k + 1))
+    one = kept.where(F.col("copy") == 1).select("field", "id", "vec")
+    forest = fit(one, len(fields), trees)
+    found = one.mapInArrow(_counted(trees, forest), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(len(forest.bounds) * CELLS, np.int64)
+    counts[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    forest = vectors.mapInArrow(_hashed(trees, centres), "tree int, code long, id long, vec binary").repartitionByRange(n, "tree", "code", "id").sortWithinPartitions("tree", "code", "vec", "id")
+    plan = planned(counts, len(forest.bounds), n, reach)
     wanted = (ask(F.col("id")) if ask else F.lit(True)).alias("ask")
-    pairs = forest.select("tree", "code", "id", "vec", wanted).mapInArrow(_searched(k, reach, least, trees, bool(ask)), "field int, a long, b long, sim float")
+    placed = kept.select("field", "id", "vec", wanted).mapInArrow(_placed(trees, forest, plan), "part int, guest boolean, cell int, code long, id long, vec binary, ask boolean")
+    parts = placed.repartitionById(max(1, len(plan.start)), F.col("part")).sortWithinPartitions("part", "guest", "cell", "code", "vec", "id")
+    pairs = parts.mapInArrow(_searched(k, least, trees, plan), "field int, a long, b long, sim float")
+    if not kept.where(F.col("copy") > k).isEmpty():
+        pairs = pairs.unionByName(_in_long_runs(vectors, kept, k))
     if ask:
         pairs = pairs.where(ask(F.col("a")))
     best = pairs.groupBy("field", "a", "b").agg(F.max("sim").alias("sim"))

@@ -48,3 +48,24 @@ def test_odd_vectors_versions_and_copies(spark):
     both = table(spark, [one, g.normal(size=64)]).union(spark.createDataFrame([("e0", 9, DAY + dt.timedelta(1), [float(x) for x in g.normal(size=64)], 0.1)], SCHEMA))
     assert {r["a"] for r in N.nearest(both, ["v"]).collect()} == {1, 9}
     assert N.nearest(spark.createDataFrame([], SCHEMA), ["v"]).count() == 0
+
+
+def test_no_partition_edge_cuts_the_search(spark):
+    """With the whole collection in reach the search is exact, into however many partitions it is cut."""
+    g = np.random.default_rng(4)
+    v = g.normal(size=(700, 64))
+    v[600:] = v[:100]  # copies
+    rows = table(spark, v)
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (8, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append({(r["a"], r["b"]): r["sim"] for r in N.nearest(rows, ["v"], trees=2, reach=700, ask=lambda c: c % 50 == 0).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    w = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = w @ w.T
+    for a in range(0, 700, 50):
+        sims = sorted((x for (q, _), x in got[0].items() if q == a), reverse=True)
+        assert np.allclose(sims, np.sort(np.delete(s[a], a))[::-1][:10], atol=1e-3)
+    assert set(got[0]) == set(got[1])
