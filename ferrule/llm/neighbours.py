@@ -171,8 +171,11 @@ def _counted(trees: int, forest: Forest):
     return run
 
 
-def planned(counts: np.ndarray, n_trees: int, parts: int, reach: int) -> Plan:
-    """Cuts every tree at cells into parts of about the same number of places, at least ``parts`` in all."""
+def planned(counts: np.ndarray, n_trees: int, parts: int, reach: int, share: float = 0.0) -> Plan:
+    """Cuts every tree at cells into parts of about the same number of places, at least ``parts`` in all.
+
+    Windows go out ``reach`` places or ``share`` of the tree, whichever is more.
+    """
     part, low, high, first, last = (np.zeros(n_trees * CELLS, np.int64) for _ in range(5))
     start: list[int] = []
     for t in range(n_trees):
@@ -187,7 +190,8 @@ def planned(counts: np.ndarray, n_trees: int, parts: int, reach: int) -> Plan:
         used = own[counts[here] > 0]
         names, own = np.unique(used), np.searchsorted(np.unique(used), own).clip(max=len(np.unique(used)) - 1)
         begins = np.array([lo[(own == k) & (counts[here] > 0)].min() for k in range(len(names))])
-        low[here], high[here] = np.maximum(lo - reach, 0), np.minimum(hi + reach, total)
+        out = max(reach, int(np.ceil(total * share)))
+        low[here], high[here] = np.maximum(lo - out, 0), np.minimum(hi + out, total)
         part[here] = own + len(start)
         first[here] = np.searchsorted(begins, low[here], side="right") - 1 + len(start)
         last[here] = np.searchsorted(begins, high[here], side="left") - 1 + len(start)
@@ -319,7 +323,7 @@ def _in_long_runs(vectors: DataFrame, kept: DataFrame, k: int) -> DataFrame:
     return vectors.join(first, ["field", "vec"]).where(F.col("id") != F.col("b")).select("field", F.col("id").alias("a"), "b", F.lit(1.0).cast("float").alias("sim"))
 
 
-def nearest(rows: DataFrame, fields: list[str], k: int = K, least: float = 0.0, trees: int = TREES, reach: int = REACH, ask=None) -> DataFrame:
+def nearest(rows: DataFrame, fields: list[str], k: int = K, least: float = 0.0, trees: int = TREES, reach: int = REACH, share: float = 0.0, ask=None) -> DataFrame:
     """``field, a, b, sim, place``: for every vector ``a`` of a field its ``k`` most similar ``b``.
 
     ``rows``: ``element_id, row_id, indexed_at`` and array columns ``fields``; of rows with one
@@ -329,7 +333,9 @@ def nearest(rows: DataFrame, fields: list[str], k: int = K, least: float = 0.0,
     vectors each finds the first ``k`` others of its run. Rows without
     row_id are left out; an empty table gives no rows.
 
-    ``reach`` holds wherever an array is cut: the places of each cell are counted first, and a query goes to
+    The search goes out ``reach`` places in either direction, or ``share`` of the array where that is more: the
+    prefix that two vectors of a given cosine have in common doesn't grow with the array, so the places between
+    them do. ``reach`` holds wherever an array is cut: the places of each cell are counted first, and a query goes to
     every part that its window reaches into. So the number of partitions changes no result.
     """
     from ferrule.session import cut
@@ -347,7 +353,7 @@ def nearest(rows: DataFrame, fields: list[str], k: int = K, least: float = 0.0,
     counts = np.zeros(len(forest.bounds) * CELLS, np.int64)
     counts[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    plan = planned(counts, len(forest.bounds), n, reach)
+    plan = planned(counts, len(forest.bounds), n, reach, share)
     wanted = (ask(F.col("id")) if ask else F.lit(True)).alias("ask")
     placed = kept.select("field", "id", "vec", wanted).mapInArrow(_placed(trees, forest, plan), "part int, guest boolean, cell int, code long, id long, vec binary, ask boolean")
     parts = placed.repartitionById(max(1, len(plan.start)), F.col("part")).sortWithinPartitions("part", "guest", "cell", "code", "vec", "id")

@@ -58,11 +58,15 @@ def field_name() -> F.Column:
     return F.element_at(F.array(*[F.lit(v) for v in VECTORS]), F.col("field") + 1)
 
 
+#: Share of a tree that the search for similar pairs goes out to, in either direction; 512 places of scale 0.1.
+SHARE = 1 / 92
+
+
 @R.query("p2_found")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs are found and kept by row_id; only those that remain get their element_ids."""
     rows = table(spark, d, "code_elements")
-    near = neighbours.nearest(rows, VECTORS, least=SIMILAR).where(F.col("sim") >= SIMILAR)
+    near = neighbours.nearest(rows, VECTORS, least=SIMILAR, share=SHARE).where(F.col("sim") >= SIMILAR)
     pairs = near.select("field", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     ids = rows.select("row_id", "element_id")
     named = pairs.join(ids.withColumnsRenamed({"row_id": "a", "element_id": "ea"}), "a").join(ids.withColumnsRenamed({"row_id": "b", "element_id": "eb"}), "b")

@@ -69,3 +69,18 @@ def test_no_partition_edge_cuts_the_search(spark):
         sims = sorted((x for (q, _), x in got[0].items() if q == a), reverse=True)
         assert np.allclose(sims, np.sort(np.delete(s[a], a))[::-1][:10], atol=1e-3)
     assert set(got[0]) == set(got[1])
+
+
+def test_reach_grows_with_the_array(spark):
+    counts = np.full(N.CELLS, 100)
+    small, large = (N.planned(counts * m, 1, 4, reach=512, share=1 / 92) for m in (1, 10))
+    assert ((large.high - large.low)[300:700] >= 10 * (small.high - small.low)[300:700] - 20).all()
+    g = np.random.default_rng(5)
+    v = g.normal(size=(3000, 64))
+    v[2500:] = v[:500] + 0.3 * g.normal(size=(500, 64))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(int(a), int(b)) for a, b in zip(*np.where(s >= 0.9))}
+    got = {(r["a"], r["b"]) for r in N.nearest(table(spark, v), ["v"], least=0.9, reach=8, share=0.15).collect()}
+    assert len(want) > 700 and len(got & want) >= 0.98 * len(want)
