@@ -135,6 +135,31 @@ def test_invalid(language, text, size):
     assert not syntax.is_valid(text, language, size)
 
 
+SPANNING = [
+    ("php", "<?php\n$a = 1;\n$s = <<<EOT\nit's {\n;\n}\nEOT;\n$n = <<<'X'\n\"(\n;\nX;\nf();\n?>\n<p>it's;\n<?php\ng();\n"),
+    ("rust", "use a;\nconst S: &str = r#\"\n\"quoted\";\n{ ' \"\n\"#;\n/* a\n/* b;\n*/\n c { ;\n*/\nfn f() {\n  g();\n}\nmacro_rules! m {\n  ($x:expr) => { $x };\n}\nfn h() {}\n"),
+    ("javascript", "let a = `\n${b.map(x => `\n{ ${x} ' ;\n`)}\n( ;\n`;\nfunction f() {\n  return 1;\n}\nf();\n/x{;/.test(a);\nlet c = d\n/ e / g;\n/* ;\n{ */\n/[{]/.test(c);\nf();\n"),
+    ("java", "import a.B;\nclass A {\n  String s = \"\"\"\n  x { ;\n  }\n  \"\"\";\n  int f() {\n    return 1;\n  }\n}\n"),
+]
+
+
+@pytest.mark.parametrize(("language", "text"), SPANNING)
+def test_a_long_text_is_judged_as_a_short_one(language, text):
+    lines = text.splitlines(keepends=True)
+    for size in range(1, len(text)):
+        assert "".join(syntax.cut_chunks(text, language, size)) == text
+        assert syntax.is_valid(text, language, size)
+    for i in range(len(lines)):  # also without a line
+        less = "".join(lines[:i] + lines[i + 1 :])
+        assert syntax.is_valid(less, language, 1) == syntax.is_valid(less, language)
+    assert len(syntax.cut_chunks(text * (1 if language in ("java", "php") else 3), language, 1)) > 1
+
+
+@pytest.mark.parametrize(("language", "text"), GOOD + BAD)
+def test_size_changes_no_verdict(language, text):
+    assert {syntax.is_valid(text, language, n) for n in range(1, len(text) + 2)} == {syntax.is_valid(text, language)}
+
+
 def test_combining_is_associative():
     text = "function f(a) {\n  /* x {\n  y */ return `a\n ${b}\n`;\n}\n)]\n{\n"
     lines = text.splitlines(keepends=True)
