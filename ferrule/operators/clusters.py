@@ -9,9 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Vectors that a fit reads at most.
-FIT_SAMPLE = 20_000
-
 
 def centroids(rows: DataFrame) -> DataFrame:
     """``label, centroid``: mean vector of each label of ``id, vec, label``; partial sums before the shuffle."""
@@ -74,15 +71,31 @@ def coordinates(rows: DataFrame, dims: int) -> DataFrame:
 
 
 def spherical_kmeans(rows: DataFrame, k: int, rounds: int = 20, seed: int = 42) -> DataFrame:
-    """``id, cluster, similarity``: fitted on at most ``FIT_SAMPLE`` rows, applied to every row."""
-    share = min(1.0, FIT_SAMPLE / max(1, rows.count()))
-    sample = rows.select("id", "vec").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy("id").toPandas()["vec"]
-    v = _unit(list(sample))
-    c = v[np.random.default_rng(seed).choice(len(v), min(k, len(v)), replace=False)]
-    for _ in range(rounds):
-        a = (v @ c.T).argmax(axis=1)
-        c = np.stack([v[a == j].mean(axis=0) if (a == j).any() else c[j] for j in range(len(c))])
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+    """``id, cluster, similarity``: Lloyd's rounds over all rows; a round brings k sums of vectors from each task."""
+    from ferrule.session import cut
+
+    rows = cut(rows.select("id", "vec"))
+    first = list(rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(k).toPandas()["vec"])
+    c = _unit(first) if first else np.zeros((0, 1))
+
+    def sums(c: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            s = np.zeros_like(c)
+            for b in batches:
+                if b.num_rows:
+                    v = _unit(b.column(0).to_pylist())
+                    np.add.at(s, (v @ c.T).argmax(axis=1), v)
+            yield pa.RecordBatch.from_arrays([pa.array([s.ravel().tolist()], pa.list_(pa.float64()))], names=["s"])
+
+        return run
+
+    for _ in range(rounds if len(c) else 0):
+        parts = rows.select("vec").mapInArrow(sums(c), "s array<double>").toPandas()["s"]
+        s = np.sum([np.asarray(x) for x in parts], axis=0).reshape(c.shape)
+        norm = np.linalg.norm(s, axis=1, keepdims=True)
+        before, c = c, np.where(norm > 1e-12, s / np.maximum(norm, 1e-12), c)
+        if np.allclose(before, c, rtol=0, atol=1e-12):
+            break
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -196,5 +196,5 @@ def vector_map(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("hard_clusters")
 def hard_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Clusters found from the vectors alone: spherical k-means, fitted on a bounded sample, applied to all."""
+    """Clusters found from the vectors alone: spherical k-means, fitted on all rows."""
     return clusters.spherical_kmeans(rows(spark, d), 10)

@@ -180,3 +180,20 @@ def test_discovery(spark, tmp_path):
     rows = {r["relative_path"]: r for r in discovery.discover(spark, str(tmp_path), files=["*.log"]).collect()}
     assert {p: r["language"] for p, r in rows.items()} == {"a.py": "python", "b/run": "python", "b/v.blade.php": "blade", "c/Dockerfile": "dockerfile"}
     assert rows["a.py"]["line_count"] == 1 and len(rows["a.py"]["file_hash"]) == 64
+
+
+def test_kmeans_is_fitted_on_all_rows(spark):
+    """Every centre is the mean of its rows, above the size at which a sample was taken, too."""
+    import numpy as np
+
+    from ferrule.operators.clusters import spherical_kmeans
+
+    g = np.random.default_rng(6)
+    v = g.normal(size=(21_500, 4)) + 3 * np.eye(4)[g.integers(0, 4, 21_500)]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vec array<double>")
+    got = spherical_kmeans(rows, 4, rounds=200).toPandas().sort_values("id")
+    c = np.stack([v[got["cluster"] == j].sum(axis=0) for j in range(4)])
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    assert np.allclose(got["similarity"], (v * c[got["cluster"]]).sum(axis=1), atol=1e-9)
+    assert spherical_kmeans(rows.where("id < 0"), 4).count() == 0
