@@ -136,7 +136,7 @@ def brace_elements(text: str, language: str) -> list[Element]:
         body = blank[m.end() : end]
         calls = [] if is_class else [c for c in dict.fromkeys(_CALL.findall(body)) if c.split(".")[0] not in _NOT_METHODS]
         head = text[at : brace if brace > at else m.end()].strip()
-        out.append(Element(kind, name, line, text.count("\n", 0, end) + 1, ".".join(o[0] for o in open_), re.sub(r"\s+", " ", head)[:400], None, [], bool(re.search(r"\basync\b", m[0])), calls))
+        out.append(Element(kind, name, line, text.count("\n", 0, end) + 1, ".".join(o[0] for o in open_), re.sub(r"\s+", " ", head), None, [], bool(re.search(r"\basync\b", m[0])), calls))
         open_.append((name, end, is_class))
     return out
 

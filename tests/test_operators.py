@@ -182,6 +182,14 @@ def test_discovery(spark, tmp_path):
     assert rows["a.py"]["line_count"] == 1 and len(rows["a.py"]["file_hash"]) == 64
 
 
+def test_signatures_are_whole():
+    from ferrule.functions import parsers
+
+    params = ", ".join(f"parameter_{i}" for i in range(60))
+    (e,) = parsers.elements(f"function f({params}) {{\n  return 1;\n}}\n", "javascript")
+    assert e.signature == f"function f({params})"
+
+
 def test_kmeans_is_fitted_on_all_rows(spark):
     """Every centre is the mean of its rows, above the size at which a sample was taken, too."""
     import numpy as np
