@@ -160,6 +160,17 @@ def test_size_changes_no_verdict(language, text):
     assert {syntax.is_valid(text, language, n) for n in range(1, len(text) + 2)} == {syntax.is_valid(text, language)}
 
 
+@pytest.mark.parametrize(
+    ("language", "text", "whole"),
+    [
+        ("javascript", "f();\nconst a =\n", False), ("typescript", "export const a: A =", False), ("javascript", "f(a) &&\n", False), ("typescript", "import", False), ("typescript", "const a = ['x'] as const", True), ("javascript", "let b = a.new", True), ("javascript", "f() // =\n", True),
+        ("java", "package a;\nimport java.util", False), ("java", "package a;\n// end", True), ("rust", "fn f() {}\nuse foo::", False), ("rust", "#![no_std]\n", True), ("php", "<?php\nf();\n$a = 1", False), ("php", "<?php f() ?>\n", True), ("php", "<?php\n// none", True),
+    ],
+)
+def test_a_text_ends_behind_a_whole_statement(language, text, whole):
+    assert syntax.is_valid(text, language) == whole == syntax.is_valid(text, language, 1)
+
+
 def test_combining_is_associative():
     text = "function f(a) {\n  /* x {\n  y */ return `a\n ${b}\n`;\n}\n)]\n{\n"
     lines = text.splitlines(keepends=True)
