@@ -257,7 +257,10 @@ def test_words_are_what_is_left_without_layout():
     assert leaks.words(None) == [] and leaks.words("…—") == []
 
 
-def test_leaks_match_brute_force(spark):
+@pytest.mark.parametrize("block", [leaks.BLOCK, 400])
+def test_leaks_match_brute_force(spark, monkeypatch, block):
+    """In one pass and in several; no text of the documents may be broadcast."""
+    monkeypatch.setattr(leaks, "BLOCK", block)
     rng = random.Random(6)
     vocabulary = [f"w{i}" for i in range(40)]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(5, 40))), "s") for i in range(12)]
@@ -281,6 +284,8 @@ def test_leaks_match_brute_force(spark):
                 want.add((d, i))
     got = leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string, h string"), spark.createDataFrame(items, "item_id long, text string, n string"))
     assert {tuple(r) for r in got.collect()} == want and want
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") == len(leaks._blocks(spark.createDataFrame(items, "item_id long, text string, n string")))
     assert leaks.leaks(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string, n string")).count() == 0
 
 
