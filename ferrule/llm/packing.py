@@ -182,8 +182,9 @@ def _best_fit(p: _Plan, capacity: int) -> None:
 def _tokens(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(vocabulary, "rb") as f:
+        with open(SparkFiles.get(vocabulary), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         for b in batches:
@@ -194,8 +195,9 @@ def _tokens(vocabulary: str):
 
 
 def token_counts(documents: DataFrame, vocabulary: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:
-    """``doc_id, n_tokens``; null and empty texts have none."""
-    return documents.select("doc_id", "text").mapInArrow(_tokens(vocabulary), "doc_id long, n_tokens long")
+    """``doc_id, n_tokens``; null and empty texts have none. The vocabulary file is sent to the executors."""
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    return documents.select("doc_id", "text").mapInArrow(_tokens(os.path.basename(vocabulary)), "doc_id long, n_tokens long")
 
 
 def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -209,6 +211,7 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     from ferrule.session import cut
 
     spark = sizes.sparkSession
+    sizes = cut(sizes.select("doc_id", "n_tokens"))  # counted once; read by the sampling, the placing and the result
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     known = sizes.where(F.col("n_tokens") > 0)
     last = F.floor((F.col("n_tokens") - 1) / capacity).cast("int")

@@ -174,6 +174,14 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill.groupBy(F.floor(F.col("used") * 20 / packing.CAPACITY).alias("twentieths")).agg(F.count("*").alias("n_containers"), F.sum("used").alias("n_tokens"))
 
 
+@R.query("p8_bound")
+def p8_bound(spark: SparkSession, d: str) -> DataFrame:
+    """Containers in use beside the least number that could hold all tokens, and the share of their room in use."""
+    fill = p8_containers(spark, d).where(F.col("container").isNotNull()).agg(F.count_distinct("container").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"))
+    room = F.col("n_containers") * packing.CAPACITY
+    return fill.select("n_containers", F.ceil(F.col("n_tokens") / packing.CAPACITY).alias("least_containers"), "n_tokens", (F.col("n_tokens") / room).alias("share_used"))
+
+
 # --- 9 ---------------------------------------------------------------------------------------------
 
 

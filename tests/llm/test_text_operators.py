@@ -285,7 +285,7 @@ def test_leaks_match_brute_force(spark, monkeypatch, block):
     got = leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string, h string"), spark.createDataFrame(items, "item_id long, text string, n string"))
     assert {tuple(r) for r in got.collect()} == want and want
     plan = got._jdf.queryExecution().sparkPlan().toString()
-    assert plan.count("BroadcastHashJoin") == len(leaks._blocks(spark.createDataFrame(items, "item_id long, text string, n string")))
+    assert 1 <= plan.count("BroadcastHashJoin") <= len(leaks._blocks(spark.createDataFrame(items, "item_id long, text string, n string")))
     assert leaks.leaks(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string, n string")).count() == 0
 
 
