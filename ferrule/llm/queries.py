@@ -58,35 +58,29 @@ def field_name() -> F.Column:
     return F.element_at(F.array(*[F.lit(v) for v in VECTORS]), F.col("field") + 1)
 
 
-#: Share of a tree that the search for similar pairs goes out to, in either direction; 512 places of scale 0.1.
-SHARE = 1 / 92
-
-
 @R.query("p2_found")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs are found and kept by row_id; only those that remain get their element_ids."""
     rows = table(spark, d, "code_elements")
-    near = neighbours.nearest(rows, VECTORS, least=SIMILAR, share=SHARE).where(F.col("sim") >= SIMILAR)
+    near = neighbours.settled(neighbours.nearest(rows, VECTORS, least=SIMILAR), rows, VECTORS, SIMILAR)
     pairs = near.select("field", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     ids = rows.select("row_id", "element_id")
     named = pairs.join(ids.withColumnsRenamed({"row_id": "a", "element_id": "ea"}), "a").join(ids.withColumnsRenamed({"row_id": "b", "element_id": "eb"}), "b")
     return named.select(field_name().alias("field"), F.least("ea", "eb").alias("element_id_a"), F.greatest("ea", "eb").alias("element_id_b"))
 
 
-#: Share of the rows that the search for all ten neighbours goes out to in each tree, in either direction.
-ASCENT = 1 / 12
+#: Candidates, as a share of the collection, at which the search for all ten neighbours ends.
+ASCENT = 0.75
 
 
 @R.query("p2_neighbours")
 def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The ten most similar of every row whose id is divisible by 50, among all rows.
 
-    Most of these neighbours are hardly similar, so the search ascends to a fixed share of each tree;
-    its cost grows as that of any search of these queries in all rows.
+    Most of these neighbours are hardly similar, so the search ascends until the nodes hold a fixed share of
+    the collection; its cost grows as that of any search of these queries in all rows.
     """
-    rows = table(spark, d, "code_elements")
-    reach = max(neighbours.REACH, int(rows.count() * ASCENT))
-    near = neighbours.nearest(rows, VECTORS, reach=reach, ask=lambda c: c % 50 == 0)
+    near = neighbours.nearest(table(spark, d, "code_elements"), VECTORS, candidates=lambda n: ASCENT * n, ask=lambda c: c % 50 == 0)
     return near.select(field_name().alias("field"), F.col("a").alias("row_id"), F.col("b").alias("neighbour_row_id"), F.round("sim", 3).alias("similarity"), "place")
 
 
