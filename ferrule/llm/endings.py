@@ -47,65 +47,93 @@ def lengths(text: str) -> tuple[int, ...]:
     return chars, size, chars + pairs, chars + entities, size + entities, chars + escaped, size + escaped, chars + escaped + 5 * wide + 6 * pairs, chars + bare, size + bare, chars - pair_ends
 
 
-# Fixed lists: words that open or join sentences; a line that is one of them, or begins to be, is no signature.
-FUNCTION_WORDS = (
-    "the a an each every if when whenever while since because although please there this that these those it is in on at of for from to with without and or but not no nobody set call "
-    "reading older we our you they suppose given return returns assume explain write candidates der die das den dem ein eine wenn sobald für mit ohne und oder aber nicht ein im am "
-    "von zu bei le la les un une des quand pour avec sans et ou mais dans sur de du el los las cuando para con sin y o pero en del por una al lo se che"
-).split()
-_OPENERS = {w.casefold() for w in FUNCTION_WORDS}
 _MARK = re.compile(r"(?:\[(?:\.\.\.|…|truncated|cut|snip(?:ped)?|more|continued|gekürzt|tronqué|cortado)\]|\((?:\.\.\.|…|truncated|cut(?: off)?|continued|more|shortened|gekürzt|abgeschnitten|tronqué|truncado)\)|<(?:truncated|snip|cut|more)>|\b(?:read|show|see) more)[\s.…]*$", re.I)
 _TO_COME = re.compile(r"\b(?:more|continue[sd]?|instal+ments?|next|soon|etc|so on|stay tuned|coming|later|follows?|folgt|fortsetzung|mehr|suite|suivre|continuará|sigue|próxim\w+|más)\b", re.I)
+#: Words of a last line, at most, that may end in its author's own dots.
+DOTTED_WORDS = 9
 _END = re.compile(r"[.!?。！？][\"'»”’)\]*_`]*$")
+_SENTENCE = re.compile(r"(?<=[.!?])[\"'»”’)\]*_`]*[ \t]+")
 _SIGNED = re.compile(r"^(?:[\w-]+-by:\s*\S|(?:refs?|fixes|closes|resolves|see(?: also)?|cc|related|issue|ticket|reviewed|author|tags?|labels?)\s*(?:[:#]|to\b)|--\s?\S|—\s*\S|[*_]?(?:regards|cheers|thanks|best|sincerely|yours|gruß|grüße|saludos|cordialement)\b)", re.I)
-_LINK = re.compile(r"(?:<?(?:https?|ftp)://\S+>?|www\.\S+|\[[^\]]*\]\([^)]*\)|\S+@\S+\.\w+)$")
+_ADDRESS = re.compile(r"(?:https?|ftp)://\S|www\.\S")
+_WHOLE_LINK = re.compile(r"[^/:]/[\w.#?=&%~-]{3,}>?$|[)>]$")
 _ITEM = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+\S")
 _NAME = re.compile(r"^(?:[^\W\d_][\w.'’-]*)(?:[ ,]+[^\W\d_][\w.'’-]*){0,3}$")
-
-
-def ending(text: str | None) -> str:
-    """``complete``, ``cut``, or ``open`` where only a limit can tell."""
+#: A line, or the end of one, that takes leave; a name stands below it.
+_LEAVE = re.compile(r"(?:^|[.!?]\s)\s*(?:(?:best|kind|warm|many|with|viele|mit freundlichen|muchas)\s+)*(?:regards|cheers|thanks|thank you|best|sincerely|yours|gruß|grüße|grüßen|danke|saludos|gracias|cordialement|merci)[\s,.!]*$", re.I)
+#: A word that begins a sentence that goes on.
+_OPENING = re.compile(r"(?:^|[.!?][\"'»”’)\]*_`]*\s)[ \t]*([^\W\d_]+),? (?=[^\W\d_])", re.M)
+#: A word opens sentences, and is no signature, if it opens one in so many times the texts that end with it, and in so many at least.
+OPENER_RATIO = 4
+LEAST_OPENINGS = 3
+
+
+def _link(tail: str) -> str | None:
+    """Whether ``tail`` ends with a link or address: ``complete``, or ``open`` if it may go on."""
+    last = tail.split()[-1] if tail.strip() else ""
+    at = last.rfind("@")
+    if at > 0 and re.search(r"\.\w+$", last[at:]):
+        return "complete" if re.search(r"\.\w{2,}$", last[at:]) else "open"
+    middle = tail.rfind("](")
+    titled = middle >= 0 and "[" in tail[:middle] and ")" not in tail[middle:-1] and tail.endswith(")")
+    if titled or _ADDRESS.search(last):
+        return "complete" if titled or _WHOLE_LINK.search(last) else "open"
+    return None
+
+
+def judged(text: str | None) -> tuple[str, str, str | None]:
+    """How a text ends, what shows it, and, if that is a word that may be a signature, this word.
+
+    ``complete``, ``cut``, or ``open`` where only a limit can tell; with a word, ``open`` holds unless the
+    collection shows that the word, or one that it is the begin of, opens sentences.
+    """
     if text is None:
-        return "complete"
+        return "complete", "empty", None
     body = text.rstrip("\x00\x1a \t\r\n\u00a0\u200b\u2028\ufeff")
     if not body:
-        return "complete"
+        return "complete", "empty", None
     if body[-1] == "\ufffd":
-        return "cut"
+        return "cut", "broken character", None
     if len(re.findall(r"^[ \t]*(?:```|~~~)", body, re.M)) % 2:
-        return "cut"
+        return "cut", "code block", None
     lines = body.split("\n")
     last = lines[-1].strip()
     alone = len(lines) == 1 or not lines[-2].strip()
-    if re.match(r"^(?:```|~~~)", last) or (last.startswith("|") and last.endswith("|") and len(last) > 1):
-        return "complete"
+    if re.match(r"^(?:```|~~~)", last):
+        return "complete", "code block", None
+    if last.startswith("|") and last.endswith("|") and len(last) > 1:
+        return "complete", "table", None
     if _MARK.search(body):
-        return "cut"
-    near = last[-600:]  # patterns that look for a begin are kept to the last few words
-    tail = re.split(r"(?<=[.!?])[\"'»”’)\]*_`]*[ \t]+", near)[-1]
+        return "cut", "mark", None
+    begin = 0
+    for m in _SENTENCE.finditer(last):
+        begin = m.end()
+    tail = last[begin:]
     if body.endswith(("…", "...")):
-        ours = _TO_COME.search(last if alone else tail) and len(last.split()) <= 9  # the author's own dots
-        return "cut" if not ours else "complete" if body.endswith("...") else "open"
-    if _LINK.search(tail[-300:]):
-        return "complete" if re.search(r"[^/:]/[\w.#?=&%~-]{3,}>?$|[)>]$|@\S+\.\w{2,}$", tail[-300:]) else "open"
+        ours = _TO_COME.search(last if alone else tail) and len(last.split()) <= DOTTED_WORDS
+        return "cut" if not ours else "complete" if body.endswith("...") else "open", "dots", None
+    link = _link(tail)
+    if link:
+        return link, "link", None
     if _SIGNED.match(last) or _SIGNED.match(tail):
-        return "complete"
-    if re.search(r"(?:^|[.!?] )[-*] \S+(?: \S+){0,3}$", near):
-        return "open"
-    if _ITEM.match(lines[-1]):
-        return "open"
+        return "complete", "signature", None
+    if re.search(r"(?:^|[.!?] )[-*] \S+(?: \S+){0,3}$", last) or _ITEM.match(lines[-1]):
+        return "open", "list item", None
     if _END.search(body):
-        return "complete"
-    if re.search(r"\|[^|]*\|$", near) and near.count("|") > 2:
-        return "complete"
+        return "complete", "sentence", None
+    if last.endswith("|") and last.count("|") > 2:
+        return "complete", "table", None
     if re.match(r"#{1,6}\s", last):
-        return "open"
+        return "open", "heading", None
     if _NAME.match(tail) and tail != body:
         ws = re.findall(r"[^\W\d_]+", tail)
-        low = ws[0].casefold()
-        if all(w[0].isupper() for w in ws) and not any(o.startswith(low) for o in _OPENERS):
-            return "open"
-    return "cut"
+        if all(w[0].isupper() for w in ws):
+            above = next((x for x in reversed(lines[:-1]) if x.strip()), "")
+            return ("open", "signature", None) if tail == last and _LEAVE.search(above) else ("open", "word", ws[0].casefold())
+    return "cut", "sentence", None
+
+
+def ending(text: str | None) -> str:
+    return judged(text)[0]
 
 
 def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,12 +141,27 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = b.column(2).to_pylist()
         sizes = [lengths(t) if t is not None else (None,) * len(MEASURES) for t in texts]
         cols = [pa.array([x[k] for x in sizes], pa.int32()) for k in range(len(MEASURES))]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, pa.array([ending(t) for t in texts], pa.string())], names=["doc_id", "source", *[f"len_{k}" for k in MEASURES], "ending"])
+        found = [judged(t) for t in texts]
+        said = [pa.array([x[k] for x in found], pa.string()) for k in range(3)]
+        openers = pa.array([list({w.casefold() for w in _OPENING.findall(t)}) if t else [] for t in texts], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, *said, openers], names=["doc_id", "source", *[f"len_{k}" for k in MEASURES], "ending", "route", "word", "openers"])
 
 
 def measured(documents: DataFrame) -> DataFrame:
-    """``doc_id, source``, the lengths and the ending of every row of ``doc_id, source, text``, in one pass."""
-    return documents.select("doc_id", "source", "text").mapInArrow(_endings, "doc_id long, source string, " + ", ".join(f"len_{k} int" for k in MEASURES) + ", ending string")
+    """``doc_id, source``, the lengths, the ending and the words that open sentences, of every row of ``doc_id, source, text``, in one pass."""
+    schema = "doc_id long, source string, " + ", ".join(f"len_{k} int" for k in MEASURES) + ", ending string, route string, word string, openers array<string>"
+    return documents.select("doc_id", "source", "text").mapInArrow(_endings, schema)
+
+
+def opening_words(rows: DataFrame) -> DataFrame:
+    """``word``: those that texts of rows of :func:`measured` end with, but that open sentences, or are the begin of one that does."""
+    ends = rows.where(F.col("word").isNotNull()).groupBy("word").agg(F.count("*").alias("n_ends"))
+    opens = rows.select(F.explode("openers").alias("word")).groupBy("word").agg(F.count("*").alias("n_opens"))
+    openers = opens.join(ends.hint("merge"), "word", "left").where(
+        (F.col("n_opens") >= LEAST_OPENINGS) & (F.col("n_opens") >= OPENER_RATIO * F.coalesce("n_ends", F.lit(0)))
+    )
+    begins = openers.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda k: F.substring("word", F.lit(1), k))).alias("word")).distinct()
+    return ends.select("word").join(begins.hint("merge"), "word", "left_semi")
 
 
 def limits(rows: DataFrame) -> DataFrame:
@@ -143,19 +186,23 @@ def limits(rows: DataFrame) -> DataFrame:
 
 
 def truncated(documents: DataFrame) -> DataFrame:
-    """``doc_id, source, ending, at_limit, is_cut`` of every row of ``doc_id, source, text``.
+    """``doc_id, source, ending, route, at_limit, is_cut`` of every row of ``doc_id, source, text``.
 
     Null and empty texts are complete; a null source is a source of its own. ``at_limit`` names a
-    measure whose hidden limit the text has reached, null if none.
+    measure whose hidden limit the text has reached, null if none; ``route`` is what the ending was told by.
     """
-    judged = cut(measured(documents))  # numbers only; read by the limits and by the result
-    found = limits(judged).groupBy("source").agg(F.collect_set(F.struct("measure", "at_limit")).alias("limits"))
+    rows = cut(measured(documents))  # numbers and words only; read by the limits, the words and the result
+    found = limits(rows).groupBy("source").agg(F.collect_set(F.struct("measure", "at_limit")).alias("limits"))
+    openers = opening_words(rows).withColumn("opens", F.lit(True))
 
     def reaches(k: str) -> Column:
         slack = BYTE_SLACK if k.endswith("bytes") else 0
         return F.exists("limits", lambda x: (x["measure"] == k) & F.col(f"len_{k}").between(x["at_limit"] - slack, x["at_limit"]))
 
     reached = F.coalesce(*[F.when(reaches(k), F.lit(k)) for k in MEASURES])
-    # a source's limits are a handful of numbers; null sources meet by the null-safe comparison
-    out = judged.join(F.broadcast(found.withColumnRenamed("source", "limit_source")), F.col("source").eqNullSafe(F.col("limit_source")), "left").withColumn("at_limit", reached)
-    return out.select("doc_id", "source", "ending", "at_limit", ((F.col("ending") == "cut") | ((F.col("ending") == "open") & F.col("at_limit").isNotNull())).alias("is_cut"))
+    # few rows end with such a word; the others needn't be moved to meet it
+    named = rows.where(F.col("word").isNotNull()).join(openers.hint("merge"), "word", "left").withColumn("ending", F.when(F.col("opens"), F.lit("cut")).otherwise(F.col("ending")))
+    rows = rows.where(F.col("word").isNull()).unionByName(named.drop("opens")).drop("openers", "word")
+    # a source's limits are at most 1 / LEAST_SHARE a measure; null sources meet by the null-safe comparison
+    out = rows.join(F.broadcast(found.withColumnRenamed("source", "limit_source")), F.col("source").eqNullSafe(F.col("limit_source")), "left").withColumn("at_limit", reached)
+    return out.select("doc_id", "source", "ending", "route", "at_limit", ((F.col("ending") == "cut") | ((F.col("ending") == "open") & F.col("at_limit").isNotNull())).alias("is_cut"))

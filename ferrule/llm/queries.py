@@ -207,6 +207,15 @@ def p10_sources(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@R.query("p10_routes")
+def p10_routes(spark: SparkSession, d: str) -> DataFrame:
+    """How many texts each kind of ending decides, and of how many of them only an exposed limit."""
+    by_limit = (F.col("ending") == "open") & F.col("at_limit").isNotNull()
+    return endings.truncated(table(spark, d, "documents")).groupBy("route", "ending").agg(
+        F.count("*").alias("n_documents"), F.count_if("is_cut").alias("n_cut"), F.count_if(F.col("at_limit").isNotNull()).alias("n_at_limit"), F.count_if(by_limit).alias("n_by_limit")
+    )
+
+
 @R.query("p10_limits")
 def p10_limits(spark: SparkSession, d: str) -> DataFrame:
     return endings.limits(endings.measured(table(spark, d, "documents")))

@@ -296,13 +296,20 @@ def test_leaks_match_brute_force(spark, monkeypatch, block):
     ("text", "want"),
     [
         ("All is said.", "complete"), ("It stops in the mid", "cut"), ("It stops [...]", "cut"), ("Code:\n```\nx = 1", "cut"), ("Code:\n```\nx = 1\n```", "complete"), ("Done.\n\nSigned-off-by: Ann", "complete"), ("Done. https://a.example/bcd", "complete"), ("Done. https://a.exam", "open"), ("List:\n\n- one\n- two", "open"), ("Done.\n\nBruno", "open"),
-        ("Done.\n\nWenn", "cut"), ("More in the next part...", "complete"), ("More in the next…", "open"), ("The pending walker must...", "cut"), ("A table.\n\n| a | 1 |", "complete"), (None, "complete"), ("", "complete"), ("Is it?\n", "complete"), ("She said \"no.\"", "complete"), ("broken \ufffd", "cut"), ("Done. Refs: #12", "complete"),
+        ("Done.\n\nWenn", "open"), ("Done. Thanks\nOttoline", "open"), ("See https://a.example/" + "b/c" * 300, "complete"), ("See [it](https://a.example/" + "b" * 900 + ")", "complete"), ("Write to " + "a" * 400 + "@b.example", "complete"), ("More in the next part...", "complete"), ("More in the next…", "open"), ("The pending walker must...", "cut"), ("A table.\n\n| a | 1 |", "complete"), (None, "complete"), ("", "complete"), ("Is it?\n", "complete"), ("She said \"no.\"", "complete"), ("broken \ufffd", "cut"), ("Done. Refs: #12", "complete"),
     ],
 )
 def test_endings(text, want):
     assert endings.ending(text) == want
 
 
+def test_words_that_open_sentences_are_no_signatures(spark):
+    rows = [(i, "s", f"Older rows go first. Nobody minds {i}. Bruno waits.", 0) for i in range(8)] + [(10 + i, "s", "All is done.\n\nBruno", 0) for i in range(4)]
+    rows += [(20, "s", "All is done.\n\nOlde", 0), (21, "s", "All is done.\n\nNobody", 0), (22, "s", "All is done.\n\nZebedee", 0)]
+    got = {r["doc_id"]: (r["is_cut"], r["route"]) for r in endings.truncated(spark.createDataFrame(rows, "doc_id long, source string, text string, word int")).collect()}
+    assert {i for i, (c, _) in got.items() if c} == {20, 21} and all(got[i][1] == "word" for i in (10, 20, 21, 22))
+
+
 def test_lengths():
     import html
     import json
