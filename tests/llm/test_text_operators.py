@@ -305,7 +305,7 @@ def test_endings(text, want):
 
 def test_words_that_open_sentences_are_no_signatures(spark):
     rows = [(i, "s", f"Older rows go first. Nobody minds {i}. Bruno waits.", 0) for i in range(8)] + [(10 + i, "s", "All is done.\n\nBruno", 0) for i in range(4)]
-    rows += [(20, "s", "All is done.\n\nOlde", 0), (21, "s", "All is done.\n\nNobody", 0), (22, "s", "All is done.\n\nZebedee", 0)]
+    rows += [(20, "a", "All is done.\n\nOlde", 0), (21, "b", "All is done.\n\nNobody", 0), (22, "c", "All is done.\n\nZebedee", 0)]
     got = {r["doc_id"]: (r["is_cut"], r["route"]) for r in endings.truncated(spark.createDataFrame(rows, "doc_id long, source string, text string, word int")).collect()}
     assert {i for i, (c, _) in got.items() if c} == {20, 21} and all(got[i][1] == "word" for i in (10, 20, 21, 22))
 
