@@ -123,6 +123,20 @@ BAD = [
 ]
 
 
+GOOD += [
+    ("javascript", "for (const k in m) { if (k) f(); else g(); }\nfor (let i = 0, n = 3; i < n; i++) {}\nfor (;;) { break }\nswitch (a) { case (1): return_(); case f(x): { g() } default: }\nconst {typeof: t, in: u} = a; export * from 'x'; class Q { *g() { yield* h(); } static delete = 1 }\n"),
+    ("javascript", "switch (a) {\ncase (1): return {b: 1};\n}\nx = a ? (b) : c\n"), ("javascript", "function f() {\n  return\n  if (a) b()\n}\nlet y = a\n  ? b : c, z = -1 * -2 + +3;\n"),
+    ("typescript", "type A = | 'x' | 'y';\ninterface B { new (): C; of?: number; a: string }\nlet f = (a?: T): void => {}; const g = <T,>(x: T) => x as const;\nswitch (a) { case 1: }\nlet c = new Map<string, Array<number>>();\n"),
+    ("php", "<?php\nforeach ($a as $k => $v) { $f = new class { public function g() {} }; $x = $o::class; $y = &$z; }\nfor ($i = 0, $j = 1; $i < 3; $i++) {}\nif ($a): echo 1; else: echo 2; endif;\nfor (;;):\n break; endfor;\n"),
+    ("java", "class A {\n  void f() { for (int i = 0; i < 3; i++) {} for (String s : t) {} for (;;) { return; } Class<?> c = A.class; int x = -1 * -2; List<? extends B> l = a -> { return switch (b) { case 1 -> 2; default -> 3; }; }; }\n}\n"),
+    ("rust", "fn f(x: &mut u8) -> i32 { let a = *x as i32; let b = 1_000u64 + 0xFFu8 as u64; let c = &&a; let g = || 1; let h = |x: i32| -> i32 { x }; if a == *x && !b {} for i in 0..=3 {} match a { 1 => *x, _ => return 2 } }\n"),
+]
+BAD += [
+    ("javascript", "let x = 1 +* 2;"), ("javascript", "else { x(); }"), ("javascript", "function f() {\n  return = 4;\n}\n"), ("javascript", "return = 4;"), ("javascript", "return return;"), ("java", "class A { void f() { for (int i=0; i<3) {} } }"), ("php", "<?php foreach ($a as) {}"), ("php", "<?php class { }"),
+    ("typescript", "interface A { a: }"), ("rust", "fn f() { let 1x = 2; }"), ("javascript", "for (let i = 0; i < 3) {}"), ("rust", "struct { a: u8 }"), ("rust", "struct A { a: }"), ("java", "class A { int f() { return * 2; } }"), ("python", "x = " + "(" * 150 + ")" * 149),
+]
+
+
 @pytest.mark.parametrize(("language", "text"), GOOD)
 @pytest.mark.parametrize("size", [syntax.CHUNK, 20])
 def test_valid(language, text, size):
