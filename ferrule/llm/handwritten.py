@@ -8,16 +8,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Texts with fewer characters, or fewer lines that aren't blank unless they are long, are tiny.
 TINY_CHARS = 160
 TINY_LINES = 4
-#: Unrelated repositories that must share a subtree or a text.
+#: Unrelated repositories that must share a text, or a subtree of any size.
 REPOSITORIES = 3
+#: Files that a subtree has at least which only two repositories share.
+SUBTREE_FILES = 3
 SHINGLE = 5
 SIMILARITY = 0.8
+#: What an estimate of the similarity may be below it by to be computed exactly; three standard deviations of the estimate.
+TOLERANCE = 0.11
 PERMUTATIONS = 128
 BANDS = 32
 CONFIGURATION = {"toml", "ini", "yaml", "json", "cfg", "properties", "xml", "dockerfile", "makefile"}
@@ -66,15 +70,15 @@ def tiny(text: str) -> bool:
 def header(lines: list[str]) -> tuple[list[str], list[str]]:
     """Comments above the first code and below the last."""
     top: list[str] = []
-    for x in lines[:80]:
-        if not x.strip() or x.startswith(("<?php", "#!", "package ")) and len(top) < 80 and not x.startswith("package "):
+    for x in lines:
+        if not x.strip() or x.startswith(("<?php", "#!")):
             continue
         c = comment_text(x)
         if c is None:
             break
         top.append(c)
     end: list[str] = []
-    for x in reversed(lines[-20:]):
+    for x in reversed(lines):
         if not x.strip():
             continue
         c = comment_text(x) if not x[:1].isspace() else None
@@ -103,14 +107,14 @@ def kind(text: str | None, path: str | None) -> str | None:
         return "data"
     if _minified(code, size, path):
         return "minified"
-    if top and any(_LICENSED.match(c) for c in top[:6]):
+    if top and any(_LICENSED.match(c) for c in top):
         return "licensed"
     return None
 
 
 def _serial(code: list[str]) -> bool:
     """Whether the code is functions numbered in order, of bodies that differ in names and numbers only."""
-    if len(code) < 10 or not re.search(r"0\s*\(", "".join(code[:12])):
+    if len(code) < 10:
         return False
     numbers, shapes = [], {}
     for x in code:
@@ -120,7 +124,7 @@ def _serial(code: list[str]) -> bool:
         shape = re.sub(r"\w+", "w", x)
         shapes[shape] = shapes.get(shape, 0) + 1
     n = len(numbers)
-    return n >= 4 and numbers == list(range(numbers[0], numbers[0] + n)) and sum(v for v in shapes.values() if v >= n - 1) >= 0.7 * len(code)
+    return n >= 4 and numbers == list(range(n)) and sum(v for v in shapes.values() if v >= n - 1) >= 0.7 * len(code)
 
 
 def _is_literal(line: str) -> bool:
@@ -143,24 +147,29 @@ _WORDS = re.compile(r"\w+")
 _MERSENNE = np.uint64((1 << 61) - 1)
 
 
-def _signature(text: str, known: dict[str, int]) -> np.ndarray | None:
+def _shingles(text: str, known: dict[str, int]) -> np.ndarray:
+    """The hashes of the five-word shingles, sorted."""
     ws = _WORDS.findall(text)
     n = len(ws) - SHINGLE + 1
     if n <= 0:
-        return None
+        return np.empty(0, np.uint64)
     codes = np.empty(len(ws), np.uint64)
     for i, w in enumerate(ws):
         c = known.get(w)
         if c is None:
-            c = known[w] = xxhash.xxh32_intdigest(w)
+            c = known[w] = xxhash.xxh64_intdigest(w)
         codes[i] = c
+    h = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        h = np.zeros(n, np.uint64)
         for k in range(SHINGLE):
             h = (h ^ codes[k : n + k]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(31)
-        h = np.unique(h)
-        out = np.empty(PERMUTATIONS, np.uint64)
+    return np.unique(h)
+
+
+def _signature(h: np.ndarray) -> np.ndarray:
+    out = np.empty(PERMUTATIONS, np.uint64)
+    with np.errstate(over="ignore"):
         for k in range(0, PERMUTATIONS, 16):
             a, b = _A[k : k + 16, None], _B[k : k + 16, None]
             best = None
@@ -177,50 +186,129 @@ _A = _rng.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
 
 
-def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        kinds, digests, small = [], [], []
-        for t, p in zip(b.column(4).to_pylist(), b.column(2).to_pylist()):
-            kinds.append(kind(t, p))
-            body = "\n".join(x.rstrip() for x in t.replace("\r\n", "\n").split("\n")).strip() if t else None
-            digests.append(xxhash.xxh3_128_hexdigest(body) if body else None)
-            small.append(t is None or tiny(t))
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(kinds, pa.string()), pa.array(digests, pa.string()), pa.array(small, pa.bool_())], names=[*FILE, "kind", "digest", "is_tiny"])
+OWN = ("generated", "minified", "data")
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[str, int] = {}
+    done: set[str] = set()
     for b in batches:
         if len(known) > 500_000:
             known.clear()
-        ids, sigs = [], []
-        for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            s = _signature(t, known) if t else None
-            if s is not None:
-                ids.append(d)
-                sigs.append(s.astype(np.uint32).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(sigs, pa.binary())], names=["digest", "signature"])
+        kinds, digests, small, signatures, sets = [], [], [], [], []
+        for t, p in zip(b.column(b.num_columns - 1).to_pylist(), b.column(2).to_pylist()):
+            k = kind(t, p)
+            body = "\n".join(x.rstrip() for x in t.replace("\r\n", "\n").split("\n")).strip() if t else None
+            digest = xxhash.xxh3_128_hexdigest(body) if body else None
+            little = t is None or tiny(t)
+            kinds.append(k)
+            digests.append(digest)
+            small.append(little)
+            h = None
+            if digest and not little and k not in OWN and digest not in done:  # of copies in one task, one is signed
+                if len(done) < 500_000:
+                    done.add(digest)
+                h = _shingles(t, known)
+            signatures.append(_signature(h).astype(np.uint32).tobytes() if h is not None and len(h) else None)
+            sets.append(h.tobytes() if h is not None and len(h) else None)
+        more = [pa.array(kinds, pa.string()), pa.array(digests, pa.string()), pa.array(small, pa.bool_()), pa.array(signatures, pa.binary()), pa.array(sets, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], *more], names=[*b.schema.names[:-1], "kind", "digest", "is_tiny", "signature", "shingles"])
 
 
-def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def kind_by_place() -> Column:
+    """The kind that ``relative_path`` alone tells, null if none."""
+
+    def at(p: re.Pattern) -> Column:
+        return F.col("relative_path").rlike("(?i)" + p.pattern)
+
+    return F.when(at(_TOOL_PATH), "generated").when(at(_VENDOR_PATH), "vendored").when(at(_MIN_PATH), "minified")
+
+
+def judge(files: DataFrame, *more: str) -> DataFrame:
+    """``repository, username, relative_path``, ``more``, and what the text alone tells of rows with ``text``.
+
+    ``kind, digest, is_tiny``, and of the first of equal texts in a task ``signature, shingles``. The text isn't
+    carried on.
+    """
+    rows = files.select(*FILE, *more, "text")
+    carried = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("text").schema.fields)
+    return rows.mapInArrow(_judged, carried + ", kind string, digest string, is_tiny boolean, signature binary, shingles binary")
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests whose text is similar to the known one: estimated, and if near enough, computed."""
     for b in batches:
         x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint32).reshape(-1, PERMUTATIONS) if b.num_rows else np.empty((0, PERMUTATIONS), np.uint32) for k in (1, 2))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array((x == y).mean(axis=1), pa.float64())], names=["digest", "similarity"])
+        keep = []
+        for i in np.flatnonzero((x == y).mean(axis=1) >= SIMILARITY - TOLERANCE).tolist():
+            p, q = (np.frombuffer(b.column(k)[i].as_py(), np.uint64) for k in (3, 4))
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            if both >= SIMILARITY * (len(p) + len(q) - both):
+                keep.append(i)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64()))], names=["digest"])
 
 
 def subtree_hashes(files: DataFrame) -> DataFrame:
     """``repository, username, folder, subtree, n`` for ``repository, username, relative_path, digest``.
 
-    A folder's hash is the sum of the hashes of (path below it, content) of all files in its subtree:
-    like a Merkle hash it is equal for equal subtrees only and is built from its children's parts, but a
-    sum can be taken partially before the shuffle and in any order, so a folder may hold most files.
+    Merkle hashes from the deepest folders up: a folder's hash is made of the names and hashes of what lies in it,
+    files and folders alike, and so of its whole subtree. The children are summed up, which can be done partially
+    before the shuffle and in any order, so a folder may hold most files. ``n`` counts the files below.
     """
+    from ferrule.session import cut
+
+    owner = ["repository", "username"]
     parts = F.split("relative_path", "/")
-    below = files.select("repository", "username", "digest", parts.alias("p")).select("repository", "username", "digest", "p", F.explode(F.sequence(F.lit(0), F.size("p") - 1)).alias("k"))
-    rows = below.where(F.col("k") > 0).select(
-        "repository", "username", F.array_join(F.slice("p", 1, F.col("k")), "/").alias("folder"), F.xxhash64(F.array_join(F.slice("p", F.col("k") + 1, F.size("p")), "/"), "digest").alias("h")
-    )
-    return rows.groupBy("repository", "username", "folder").agg(F.sum(F.col("h").cast("decimal(20,0)")).alias("subtree"), F.count("*").alias("n"))
+    nodes = files.where(F.col("digest").isNotNull() & F.col("relative_path").isNotNull()).select(
+        *owner, F.slice(parts, 1, F.size(parts) - 1).alias("folder"), F.element_at(parts, -1).alias("name"), F.xxhash64(F.lit("file"), "digest").alias("h"), F.lit(1).cast("long").alias("n")
+    ).withColumn("depth", F.size("folder"))
+    nodes = cut(nodes)
+    below, out = None, None
+    for depth in range(nodes.agg(F.max("depth")).first()[0] or 0, 0, -1):
+        here = nodes.where(F.col("depth") == depth).drop("depth")
+        here = here if below is None else here.unionByName(below)
+        made = here.groupBy(*owner, "folder").agg(F.sum(F.xxhash64("name", "h").cast("decimal(20,0)")).alias("s"), F.count("*").alias("k"), F.sum("n").alias("n"))
+        level = cut(made.select(*owner, "folder", F.xxhash64(F.lit("folder"), "s", "k").alias("subtree"), "n"))
+        below = level.where(F.size("folder") > 1).select(*owner, F.slice("folder", 1, F.size("folder") - 1).alias("folder"), F.element_at("folder", -1).alias("name"), F.col("subtree").alias("h"), "n")
+        out = level if out is None else out.unionByName(level)
+    if out is None:
+        return nodes.select(*owner, F.lit("").alias("folder"), F.lit(0).cast("long").alias("subtree"), "n").where(F.lit(False))
+    return out.withColumn("folder", F.array_join("folder", "/"))
+
+
+def _in_shared_subtrees(rest: DataFrame) -> DataFrame:
+    """``digest`` of the files below folders that unrelated repositories have in common."""
+    trees = subtree_hashes(rest)
+    by_hash = trees.groupBy("subtree").agg(F.count_distinct("repository").alias("r"), F.max("n").alias("n"))
+    known = by_hash.where((F.col("r") >= REPOSITORIES) | (F.col("r") >= 2) & (F.col("n") >= SUBTREE_FILES))
+    common = trees.join(known.hint("merge"), "subtree", "left_semi").select("repository", "username", "folder")
+    p = F.split("relative_path", "/")
+    above = rest.select("repository", "username", "digest", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(p) - 1)), lambda k: F.array_join(F.slice(p, F.lit(1), k), "/"))).alias("folder"))
+    return above.join(common.hint("merge"), ["repository", "username", "folder"], "left_semi").select("digest").distinct()
+
+
+def _patched(rest: DataFrame, vendored: DataFrame) -> DataFrame:
+    """``digest`` of texts similar to a vendored one, searched in bands of their signatures.
+
+    Of the vendored texts in one band, one stands for all at first; only texts that aren't similar to any of these
+    are compared with the others, so that a band of many near-equal texts costs each of them one comparison.
+    """
+    from ferrule.session import cut
+
+    signed = cut(rest.where(F.col("signature").isNotNull()).select("digest", "signature", "shingles").dropDuplicates(["digest"]))
+    step = PERMUTATIONS // BANDS * 4
+    bands = signed.select("digest", F.posexplode(F.array(*[F.xxhash64(F.substring("signature", 1 + k * step, step)) for k in range(BANDS)])).alias("band", "h"))
+    theirs = bands.join(vendored.hint("merge"), "digest", "left_semi").withColumnRenamed("digest", "known")
+    ours = bands.join(vendored.hint("merge"), "digest", "left_anti")
+    known = signed.select(F.col("digest").alias("known"), F.col("signature").alias("theirs"), F.col("shingles").alias("of_theirs"))
+
+    def similar(candidates: DataFrame) -> DataFrame:
+        both = candidates.join(signed.hint("merge"), "digest").join(known.hint("merge"), "known")
+        return both.select("digest", "signature", "theirs", "shingles", "of_theirs").mapInArrow(_alike, "digest string").distinct()
+
+    first = cut(similar(ours.join(theirs.groupBy("band", "h").agg(F.min("known").alias("known")).hint("merge"), ["band", "h"]).select("digest", "known").distinct()))
+    left = ours.join(first.hint("merge"), "digest", "left_anti")
+    return first.union(similar(left.join(theirs.hint("merge"), ["band", "h"]).select("digest", "known").distinct()))
 
 
 def not_handwritten(files: DataFrame) -> DataFrame:
@@ -228,35 +316,24 @@ def not_handwritten(files: DataFrame) -> DataFrame:
 
     ``files``: these columns with ``language`` and ``text``, a row for each file. Kinds: ``generated``,
     ``minified``, ``data``, ``vendored``. Empty and tiny texts, null texts and configuration languages
-    are never reported. A text that at least ``REPOSITORIES`` repositories hold, alone or in an equal
-    subtree, or with a foreign project's header or place, is vendored, and so is every text whose
-    five-word shingles have a similarity of at least ``SIMILARITY`` to one of these (patched copies).
-    Near copies are searched between different texts only, one row for each, so that a text with any
-    number of copies is one row; files and texts stay distributed throughout.
+    are never reported. A text that at least ``REPOSITORIES`` repositories hold, that lies in a subtree shared by as
+    many, or by two if it has ``SUBTREE_FILES`` files, or that has a foreign project's header or place, is vendored,
+    and so is every text whose five-word shingles have a similarity of at least ``SIMILARITY`` to one of these
+    (patched copies). Near copies are searched between different texts only, one row for each, so that a text with
+    any number of copies is one row; files and texts stay distributed throughout.
     """
+    return decided(judge(files, "language"))
+
+
+def decided(judged: DataFrame) -> DataFrame:
+    """The result of :func:`not_handwritten` from rows of :func:`judge` with ``language``."""
     from ferrule.session import cut
 
-    files = files.where(~F.coalesce(F.lower("language").isin(*CONFIGURATION), F.lit(False)))
-    seen = cut(files.select(*FILE, "language", "text").mapInArrow(_judged, "repository string, username string, relative_path string, kind string, digest string, is_tiny boolean").where(~F.col("is_tiny")))
-    own = seen.where(F.col("kind").isin("generated", "minified", "data")).select(*FILE, "kind")
-    rest = seen.where(F.coalesce(~F.col("kind").isin("generated", "minified", "data"), F.lit(True)))
-    shared = rest.groupBy("digest").agg(F.count_distinct("repository").alias("n"), F.max((F.col("kind") == "licensed") | F.col("relative_path").rlike(_VENDOR_PATH.pattern.replace("(?:^|/)", "(?i)(?:^|/)"))).alias("foreign"))
-    trees = subtree_hashes(rest)
-    common = trees.join(trees.groupBy("subtree").agg(F.count_distinct("repository").alias("r")).where(F.col("r") >= REPOSITORIES), "subtree", "left_semi").select("repository", "username", "folder")
-    under = rest.select(*FILE, "digest", F.split("relative_path", "/").alias("p")).select("repository", "username", "digest", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("p") - 1))).alias("k"), "p").select(
-        "repository", "username", "digest", F.array_join(F.slice("p", 1, F.col("k")), "/").alias("folder")
-    ).join(common, ["repository", "username", "folder"], "left_semi").select("digest").distinct()
-    vendored = cut(shared.where((F.col("n") >= REPOSITORIES) | F.coalesce("foreign", F.lit(False))).select("digest").union(under).distinct())
-    # one text for each content
-    texts = files.select(*FILE, "text").join(rest.select(*FILE, "digest"), FILE).groupBy("digest").agg(F.min("text").alias("text"))
-    signed = cut(texts.mapInArrow(_signed, "digest string, signature binary"))
-    step = PERMUTATIONS // BANDS * 4
-    bands = signed.select("digest", F.posexplode(F.array(*[F.xxhash64(F.substring("signature", 1 + k * step, step)) for k in range(BANDS)])).alias("band", "h"))
-    theirs = bands.join(vendored, "digest", "left_semi").withColumnRenamed("digest", "known")
-    ours = bands.join(vendored, "digest", "left_anti")
-    candidates = ours.join(theirs, ["band", "h"]).select("digest", "known").distinct()
-    known = signed.withColumnsRenamed({"digest": "known", "signature": "theirs"})
-    close = candidates.join(signed, "digest").join(known, "known").select("digest", "signature", "theirs").mapInArrow(_agreement, "digest string, similarity double")
-    patched = close.where(F.col("similarity") >= SIMILARITY - 0.06).select("digest")
-    copies = rest.join(vendored.union(patched).distinct(), "digest", "left_semi").select(*FILE, F.lit("vendored").alias("kind"))
+    seen = cut(judged.where(~F.coalesce(F.lower("language").isin(*CONFIGURATION), F.lit(False)) & ~F.col("is_tiny")))
+    is_own = F.coalesce(F.col("kind").isin(*OWN), F.lit(False))
+    own = seen.where(is_own).select(*FILE, "kind")
+    rest = seen.where(~is_own)
+    shared = rest.groupBy("digest").agg(F.count_distinct("repository").alias("n"), F.max((F.col("kind") == "licensed") | F.col("relative_path").rlike("(?i)" + _VENDOR_PATH.pattern)).alias("foreign"))
+    vendored = cut(shared.where((F.col("n") >= REPOSITORIES) | F.coalesce("foreign", F.lit(False))).select("digest").union(_in_shared_subtrees(rest)).distinct())
+    copies = rest.join(vendored.union(_patched(rest, vendored)).distinct().hint("merge"), "digest", "left_semi").select(*FILE, F.lit("vendored").alias("kind"))
     return own.union(copies)

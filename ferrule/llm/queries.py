@@ -111,9 +111,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def written_elsewhere(spark: SparkSession, d: str) -> DataFrame:
+    """Texts are judged where the current rows are found, and only what they tell meets the scans.
+
+    Of files without text only the place tells.
+    """
     files = newest_files(spark, d, *FILE, "language", "is_deleted").where(~F.coalesce("is_deleted", F.lit(False))).drop("is_deleted")
-    texts = current_files(spark, d, *FILE, "raw_code").groupBy(*FILE).agg(F.max("raw_code").alias("text"))
-    return handwritten.not_handwritten(files.join(texts, FILE))
+    texts = current_files(spark, d, *FILE, "indexed_at", "row_id", "raw_code").withColumnRenamed("raw_code", "text")
+    judged = latest_per_key(handwritten.judge(texts, "indexed_at", "row_id"), FILE, ["indexed_at", "row_id"]).drop("indexed_at", "row_id")
+    seen = files.join(judged.hint("merge"), FILE, "left")
+    known = handwritten.decided(seen.where(F.col("is_tiny").isNotNull()))
+    return known.unionByName(seen.where(F.col("is_tiny").isNull()).select(*FILE, handwritten.kind_by_place().alias("kind")).where(F.col("kind").isNotNull()))
 
 
 @R.query("p4_found")

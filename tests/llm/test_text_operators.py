@@ -26,6 +26,20 @@ def test_pieces_are_cut_between_functions():
     assert len(cuts) > 5 and all(text[c:].startswith("def f") for c in cuts[1:])
 
 
+def test_pieces_follow_markup_lists_and_headings():
+    item = "<li>" + "word " * 12 + "<b>x</b></li>"
+    line = "<ul>" + item * 100 + "</ul>"
+    assert all(line[:c].endswith("</li>") for c in split.cut_points(line, 600, 60)[1:])
+    html = "<div>\n" + "".join(f"<section>\n<p>{'text ' * 30}</p>\n<p>{'more ' * 20}</p>\n</section>\n" for _ in range(20)) + "</div>\n"
+    assert all(html[c:].startswith(("<section>", "</div>")) for c in split.cut_points(html, 800, 60)[1:])
+    text = "".join(f"## Part {i}\n\n" + "Some words stand here.\n" * 4 + "\n- one\n- two\n\n" for i in range(30))
+    assert all(text[c:].startswith("## ") for c in split.cut_points(text, 700, 60)[1:])
+    far = "x" * 6000 + " " + "y" * 9000
+    assert 6001 in split.cut_points(far)
+    code = "# a note\ndef f():\n" + "    call(1, 2)\n" * 30 + "\n"
+    assert all((code * 9)[c:].startswith("# a note") for c in split.cut_points(code * 9, 1000, 50)[1:])
+
+
 def test_split_oversized(spark):
     rows = [("a", "x" * 100, 1), ("b", "line\n" * 3000, 2), ("b", "line\n" * 3000, 2), ("c", None, 3), ("d", "", 4), (None, "y" * 20000, 5)]
     got = split.split_oversized(spark.createDataFrame(rows, "element_id string, raw_code string, n_pieces int")).collect()
@@ -106,6 +120,19 @@ def test_not_handwritten(spark):
     assert handwritten.not_handwritten(empty).count() == 0
 
 
+def test_headers_and_merkle_hashes(spark):
+    late = "".join(f"# line {i} of a long licence\n" for i in range(120)) + "# Code generated by wirecast. DO NOT EDIT.\n" + BODY
+    assert handwritten.kind(late, "a.py") == "generated"
+    rows = [(r, "main", p, x) for r in ("a", "b") for p, x in (("lib/x/1.py", "p"), ("lib/x/2.py", "q"), ("lib/y/3.py", "r"))]
+    rows += [("c", "main", "lib/x/1.py", "p"), ("c", "main", "lib/x/2.py", "q"), ("c", "main", "lib/y/3.py", "other"), ("d", "main", "top.py", "p"), ("d", "main", None, "p")]
+    got = {(r["repository"], r["folder"]): (r["subtree"], r["n"]) for r in handwritten.subtree_hashes(spark.createDataFrame(rows, "repository string, username string, relative_path string, digest string")).collect()}
+    assert got["a", "lib"] == got["b", "lib"] != got["c", "lib"] and got["a", "lib/x"] == got["c", "lib/x"] and got["a", "lib"][1] == 3 and ("d", "") not in got
+    texts = ["\n".join(f"def {w}_{k}(x):\n    return x + {k} * {w}(x)\n" for w in "red green blue black white".split()) for k in range(3)]
+    rows = [(r, "main", f"shared/m{k}.py", "python", t) for r in ("a", "b") for k, t in enumerate(texts)] + [("c", "main", "own.py", "python", BODY), ("d", "main", "own.py", "python", BODY)]
+    found = handwritten.not_handwritten(spark.createDataFrame(rows, "repository string, username string, relative_path string, language string, text string")).collect()
+    assert {(r["repository"], r["kind"]) for r in found} == {("a", "vendored"), ("b", "vendored")} and len(found) == 6
+
+
 # --- 5 -----------------------------------------------------------------------------------------------
 
 GOOD = [
