@@ -52,6 +52,7 @@ _MIN_PATH = re.compile(r"[.-](?:min|bundle|pack|prod)\.(?:js|mjs|css|ts)$", re.I
 #: A foreign project's name, version and owner above its code.
 _LICENSED = re.compile(r"^\W*(?:[\w@./-]+\s+v?\d+\.\d+(?:\.\d+)?\b.*(?:\(c\)|©|copyright|licen[cs]e)|.*\blicen[cs]ed?\b.*\bupstream\b|.*\bsee\s+upstream\b|@license\b.*v?\d+\.\d+)", re.I)
 _NUMBERED = re.compile(r"^\s*(?:[\w]+\s+){0,5}([A-Za-z_]\w*?)_?(\d+)\s*\(", re.M)
+_DEFINES = re.compile(r"\s*(?:export|public|private|static|async|def|function|fn|pub|func|int|void|var|let|const)\b")
 _LITERAL = re.compile(r"[rbuf]?\"(?:[^\"\\]|\\.)*\"|[rbuf]?'(?:[^'\\]|\\.)*'|(?<![\w$])[-+]?(?:0[xX][\da-fA-F_]+|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?)(?:[a-zA-Z]\w{0,2})?(?!\w)|(?<![\w$])(?:true|false|null|none|nil|True|False|None)(?!\w)")
 _REST = re.compile(r"[^\s,;:+.=>\[\](){}-]")
 
@@ -116,15 +117,16 @@ def _serial(code: list[str]) -> bool:
     """Whether the code is functions numbered in order, of bodies that differ in names and numbers only."""
     if len(code) < 10:
         return False
-    numbers, shapes = [], {}
+    named = (_NUMBERED.match(x) for x in code if _DEFINES.match(x))
+    numbers = [int(m[2]) for m in named if m]
+    n = len(numbers)
+    if n < 4 or numbers != list(range(n)):
+        return False
+    shapes: dict[str, int] = {}
     for x in code:
-        m = _NUMBERED.match(x)
-        if m and re.match(r"\s*(?:export|public|private|static|async|def|function|fn|pub|func|int|void|var|let|const)\b", x):
-            numbers.append(int(m[2]))
         shape = re.sub(r"\w+", "w", x)
         shapes[shape] = shapes.get(shape, 0) + 1
-    n = len(numbers)
-    return n >= 4 and numbers == list(range(n)) and sum(v for v in shapes.values() if v >= n - 1) >= 0.7 * len(code)
+    return sum(v for v in shapes.values() if v >= n - 1) >= 0.7 * len(code)
 
 
 def _is_literal(line: str) -> bool:
@@ -186,6 +188,16 @@ _A = _rng.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
 
 
+#: Files whose keys, about a hundred bytes each, may be broadcast.
+FEW_FILES = 50_000
+
+
+def digest_of(text: str | None) -> str | None:
+    """The same for texts that differ in line ends and blanks around lines only; null if there is nothing else."""
+    body = "\n".join(x.rstrip() for x in text.replace("\r\n", "\n").split("\n")).strip() if text else None
+    return xxhash.xxh3_128_hexdigest(body) if body else None
+
+
 OWN = ("generated", "minified", "data")
 
 
@@ -195,11 +207,10 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if len(known) > 500_000:
             known.clear()
-        kinds, digests, small, signatures, sets = [], [], [], [], []
+        kinds, digests, small, signatures = [], [], [], []
         for t, p in zip(b.column(b.num_columns - 1).to_pylist(), b.column(2).to_pylist()):
             k = kind(t, p)
-            body = "\n".join(x.rstrip() for x in t.replace("\r\n", "\n").split("\n")).strip() if t else None
-            digest = xxhash.xxh3_128_hexdigest(body) if body else None
+            digest = digest_of(t)
             little = t is None or tiny(t)
             kinds.append(k)
             digests.append(digest)
@@ -210,9 +221,8 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     done.add(digest)
                 h = _shingles(t, known)
             signatures.append(_signature(h).astype(np.uint32).tobytes() if h is not None and len(h) else None)
-            sets.append(h.tobytes() if h is not None and len(h) else None)
-        more = [pa.array(kinds, pa.string()), pa.array(digests, pa.string()), pa.array(small, pa.bool_()), pa.array(signatures, pa.binary()), pa.array(sets, pa.binary())]
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], *more], names=[*b.schema.names[:-1], "kind", "digest", "is_tiny", "signature", "shingles"])
+        more = [pa.array(kinds, pa.string()), pa.array(digests, pa.string()), pa.array(small, pa.bool_()), pa.array(signatures, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], *more], names=[*b.schema.names[:-1], "kind", "digest", "is_tiny", "signature"])
 
 
 def kind_by_place() -> Column:
@@ -227,21 +237,37 @@ def kind_by_place() -> Column:
 def judge(files: DataFrame, *more: str) -> DataFrame:
     """``repository, username, relative_path``, ``more``, and what the text alone tells of rows with ``text``.
 
-    ``kind, digest, is_tiny``, and of the first of equal texts in a task ``signature, shingles``. The text isn't
+    ``kind, digest, is_tiny``, and of the first of equal texts in a task ``signature``. The text isn't
     carried on.
     """
     rows = files.select(*FILE, *more, "text")
     carried = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("text").schema.fields)
-    return rows.mapInArrow(_judged, carried + ", kind string, digest string, is_tiny boolean, signature binary, shingles binary")
+    return rows.mapInArrow(_judged, carried + ", kind string, digest string, is_tiny boolean, signature binary")
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose signatures agree so much that the texts may be similar."""
+    for b in batches:
+        x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint32).reshape(-1, PERMUTATIONS) if b.num_rows else np.empty((0, PERMUTATIONS), np.uint32) for k in (2, 3))
+        keep = pa.array(np.flatnonzero((x == y).mean(axis=1) >= SIMILARITY - TOLERANCE))
+        yield pa.RecordBatch.from_arrays([b.column(k).take(keep) for k in (0, 1)], names=["digest", "known"])
+
+
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str, int] = {}
+    for b in batches:
+        if len(known) > 500_000:
+            known.clear()
+        texts = b.column(0).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([digest_of(t) for t in texts], pa.string()), pa.array([_shingles(t, known).tobytes() if t else None for t in texts], pa.binary())], names=["digest", "shingles"])
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests whose text is similar to the known one: estimated, and if near enough, computed."""
+    """Digests whose shingles are similar to the known text's."""
     for b in batches:
-        x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint32).reshape(-1, PERMUTATIONS) if b.num_rows else np.empty((0, PERMUTATIONS), np.uint32) for k in (1, 2))
         keep = []
-        for i in np.flatnonzero((x == y).mean(axis=1) >= SIMILARITY - TOLERANCE).tolist():
-            p, q = (np.frombuffer(b.column(k)[i].as_py(), np.uint64) for k in (3, 4))
+        for i, (x, y) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = len(np.intersect1d(p, q, assume_unique=True))
             if both >= SIMILARITY * (len(p) + len(q) - both):
                 keep.append(i)
@@ -287,24 +313,31 @@ def _in_shared_subtrees(rest: DataFrame) -> DataFrame:
     return above.join(common.hint("merge"), ["repository", "username", "folder"], "left_semi").select("digest").distinct()
 
 
-def _patched(rest: DataFrame, vendored: DataFrame) -> DataFrame:
+def _patched(rest: DataFrame, vendored: DataFrame, texts: DataFrame) -> DataFrame:
     """``digest`` of texts similar to a vendored one, searched in bands of their signatures.
 
     Of the vendored texts in one band, one stands for all at first; only texts that aren't similar to any of these
-    are compared with the others, so that a band of many near-equal texts costs each of them one comparison.
+    are compared with the others, so that a band of many near-equal texts costs each of them one comparison. Only the
+    texts of pairs whose signatures agree are read again, to compute their similarity exactly.
     """
     from ferrule.session import cut
 
-    signed = cut(rest.where(F.col("signature").isNotNull()).select("digest", "signature", "shingles").dropDuplicates(["digest"]))
+    signed = cut(rest.where(F.col("signature").isNotNull()).select("digest", "signature").dropDuplicates(["digest"]))
     step = PERMUTATIONS // BANDS * 4
     bands = signed.select("digest", F.posexplode(F.array(*[F.xxhash64(F.substring("signature", 1 + k * step, step)) for k in range(BANDS)])).alias("band", "h"))
-    theirs = bands.join(vendored.hint("merge"), "digest", "left_semi").withColumnRenamed("digest", "known")
+    theirs = cut(bands.join(vendored.hint("merge"), "digest", "left_semi").withColumnRenamed("digest", "known"))
     ours = bands.join(vendored.hint("merge"), "digest", "left_anti")
-    known = signed.select(F.col("digest").alias("known"), F.col("signature").alias("theirs"), F.col("shingles").alias("of_theirs"))
 
     def similar(candidates: DataFrame) -> DataFrame:
-        both = candidates.join(signed.hint("merge"), "digest").join(known.hint("merge"), "known")
-        return both.select("digest", "signature", "theirs", "shingles", "of_theirs").mapInArrow(_alike, "digest string").distinct()
+        of_known = signed.withColumnsRenamed({"digest": "known", "signature": "theirs"})
+        both = candidates.join(signed.hint("merge"), "digest").join(of_known.hint("merge"), "known")
+        near = cut(both.select("digest", "known", "signature", "theirs").mapInArrow(_near, "digest string, known string"))
+        ids = near.select(F.explode(F.array("digest", "known")).alias("digest")).distinct()
+        files = cut(rest.select(*FILE, "digest").join(ids.hint("merge"), "digest", "left_semi").groupBy("digest").agg(F.min(F.struct(*FILE)).alias("f")).select("f.*"))
+        files = F.broadcast(files) if files.count() <= FEW_FILES else files.hint("merge")
+        sets = texts.join(files, FILE, "left_semi").select("text").mapInArrow(_shingled, "digest string, shingles binary").dropDuplicates(["digest"])
+        of_known = sets.withColumnsRenamed({"digest": "known", "shingles": "theirs"})
+        return near.join(sets.hint("merge"), "digest").join(of_known.hint("merge"), "known").select("digest", "shingles", "theirs").mapInArrow(_alike, "digest string").distinct()
 
     first = cut(similar(ours.join(theirs.groupBy("band", "h").agg(F.min("known").alias("known")).hint("merge"), ["band", "h"]).select("digest", "known").distinct()))
     left = ours.join(first.hint("merge"), "digest", "left_anti")
@@ -322,18 +355,23 @@ def not_handwritten(files: DataFrame) -> DataFrame:
     (patched copies). Near copies are searched between different texts only, one row for each, so that a text with
     any number of copies is one row; files and texts stay distributed throughout.
     """
-    return decided(judge(files, "language"))
+    from ferrule.session import cut
+
+    return decided(cut(judge(files, "language")), files.select(*FILE, "text"))
 
 
-def decided(judged: DataFrame) -> DataFrame:
-    """The result of :func:`not_handwritten` from rows of :func:`judge` with ``language``."""
+def decided(judged: DataFrame, texts: DataFrame) -> DataFrame:
+    """The result of :func:`not_handwritten` from rows of :func:`judge` with ``language``, and the texts by file.
+
+    ``texts`` may hold more versions of a file than the one that was judged; texts are told by their digest.
+    """
     from ferrule.session import cut
 
-    seen = cut(judged.where(~F.coalesce(F.lower("language").isin(*CONFIGURATION), F.lit(False)) & ~F.col("is_tiny")))
+    seen = judged.where(~F.coalesce(F.lower("language").isin(*CONFIGURATION), F.lit(False)) & ~F.col("is_tiny"))
     is_own = F.coalesce(F.col("kind").isin(*OWN), F.lit(False))
     own = seen.where(is_own).select(*FILE, "kind")
     rest = seen.where(~is_own)
     shared = rest.groupBy("digest").agg(F.count_distinct("repository").alias("n"), F.max((F.col("kind") == "licensed") | F.col("relative_path").rlike("(?i)" + _VENDOR_PATH.pattern)).alias("foreign"))
     vendored = cut(shared.where((F.col("n") >= REPOSITORIES) | F.coalesce("foreign", F.lit(False))).select("digest").union(_in_shared_subtrees(rest)).distinct())
-    copies = rest.join(vendored.union(_patched(rest, vendored)).distinct().hint("merge"), "digest", "left_semi").select(*FILE, F.lit("vendored").alias("kind"))
+    copies = rest.join(vendored.union(_patched(rest, vendored, texts)).distinct().hint("merge"), "digest", "left_semi").select(*FILE, F.lit("vendored").alias("kind"))
     return own.union(copies)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ferrule.llm import docpairs, endings, handwritten, leaks, neighbours, packing, split, syntax
 from ferrule.plans.registry import Registry
+from ferrule.session import cut
 from ferrule.sources.tables import current_elements, latest_per_key, newest_files, table
 
 R = Registry()
@@ -117,9 +118,10 @@ def written_elsewhere(spark: SparkSession, d: str) -> DataFrame:
     """
     files = newest_files(spark, d, *FILE, "language", "is_deleted").where(~F.coalesce("is_deleted", F.lit(False))).drop("is_deleted")
     texts = current_files(spark, d, *FILE, "indexed_at", "row_id", "raw_code").withColumnRenamed("raw_code", "text")
-    judged = latest_per_key(handwritten.judge(texts, "indexed_at", "row_id"), FILE, ["indexed_at", "row_id"]).drop("indexed_at", "row_id")
-    seen = files.join(judged.hint("merge"), FILE, "left")
-    known = handwritten.decided(seen.where(F.col("is_tiny").isNotNull()))
+    judged = latest_per_key(cut(handwritten.judge(texts, "indexed_at", "row_id")), FILE, ["indexed_at", "row_id"]).drop("indexed_at", "row_id")
+    seen = cut(files.join(judged.hint("merge"), FILE, "left"))
+    versions = table(spark, d, "code_elements").where(F.col("element_type") == "file").select(*FILE, F.col("raw_code").alias("text"))
+    known = handwritten.decided(seen.where(F.col("is_tiny").isNotNull()), versions)
     return known.unionByName(seen.where(F.col("is_tiny").isNull()).select(*FILE, handwritten.kind_by_place().alias("kind")).where(F.col("kind").isNotNull()))
 
 
