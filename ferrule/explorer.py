@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferrule.functions import code as C
 from ferrule.functions import text as T
 from ferrule.operators import graphs, rules, search
 from ferrule.plans import extraction, graph, scalars, statistics
@@ -164,7 +165,7 @@ class Explorer:
     # --- quality ------------------------------------------------------------------------------------
 
     def find_complex_functions(self, least: int = 10, limit: int = 50) -> DataFrame:
-        rows = self.elements.where(F.col("element_type").isin(*FUNCTIONS)).withColumn("complexity", T.complexity(F.col("raw_code")))
+        rows = self.elements.where(F.col("element_type").isin(*FUNCTIONS)).withColumn("complexity", C.complexity(F.col("raw_code"), F.col("language")))
         return rows.where(F.col("complexity") >= least).orderBy(F.col("complexity").desc(), "element_id").limit(limit)
 
     def find_undocumented(self, public_only: bool = True) -> DataFrame:

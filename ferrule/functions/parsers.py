@@ -89,6 +89,57 @@ def python_imports(text: str) -> list[tuple[str, str, str, int]]:
     return sorted(out, key=lambda r: (r[3], r[1]))
 
 
+#: One import of a name each: module, name, alias.
+_SCRIPT_IMPORT = re.compile(r"^[ \t]*(?:import|export)\s+(?:type\s+)?([^'\";]*?)\s*(?:from\s*)?['\"]([^'\"\n]+)['\"]", re.M)
+_REQUIRE = re.compile(r"(?:const|let|var)\s+(\{[^}]*\}|[\w$]+)\s*=\s*require\(\s*['\"]([^'\"]+)['\"]\s*\)")
+_DOTTED_IMPORT = {
+    "java": re.compile(r"^[ \t]*import\s+(?:static\s+)?([\w.]+?)\.(\w+|\*)\s*()?;", re.M), "php": re.compile(r"^[ \t]*use\s+(?:function\s+|const\s+)?\\?([\w\\]+?)\\(\w+)(?:\s+as\s+(\w+))?\s*;", re.M),
+    "rust": re.compile(r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?use\s+([\w:]+?)::(\w+|\*|\{[^;]*\})(?:\s+as\s+(\w+))?\s*;", re.M),
+}
+
+
+def _named(listed: str) -> list[tuple[str, str]]:
+    """Name and alias of ``{a, b as c}``."""
+    out = []
+    for part in listed.strip("{} \n\t").split(","):
+        m = re.match(r"\s*(?:type\s+)?([\w$*]+)(?:\s*(?:\bas\b|:)\s*([\w$]+))?\s*$", part)
+        if m:
+            out.append((m[1], m[2] or m[1]))
+    return out
+
+
+def imports(text: str | None, language: str | None) -> list[tuple[str, str, str, int]]:
+    """``module, name, alias, line`` of each imported name; whole modules have no name. Null texts and other languages have none."""
+    if not text:
+        return []
+    if language == "python":
+        return python_imports(text)
+    blank = _SKIP_COMMENTS.sub(lambda m: m[0] if m[0][0] not in "/" else re.sub(r"[^\n]", " ", m[0]), text)
+    line = lambda at: blank.count("\n", 0, at) + 1
+    out: list[tuple[str, str, str, int]] = []
+    if language in ("javascript", "typescript"):
+        for m in _SCRIPT_IMPORT.finditer(blank):
+            head, module, at = m[1].strip(), m[2], line(m.start() + len(m[0]) - len(m[0].lstrip()))
+            braces = re.search(r"\{[^}]*\}", head)
+            rest = (head[: braces.start()] + head[braces.end() :] if braces else head).strip(" ,")
+            star = re.match(r"\*(?:\s+as\s+([\w$]+))?", rest)
+            if star:
+                out.append((module, "*", star[1] or "*", at))
+            elif rest:
+                out.append((module, "default", rest.split(",")[0].strip(), at))
+            out += [(module, n, a, at) for n, a in (_named(braces[0]) if braces else [])]
+            if not head:
+                out.append((module, "", "", at))
+        for m in _REQUIRE.finditer(blank):
+            names = _named(m[1]) if m[1].startswith("{") else [("", m[1])]
+            out += [(m[2], n, a, line(m.start())) for n, a in names]
+    elif language in _DOTTED_IMPORT:
+        for m in _DOTTED_IMPORT[language].finditer(blank):
+            names = _named(m[2]) if m[2].startswith("{") else [(m[2], m[3] or m[2])]
+            out += [(m[1], n, a, line(m.start() + len(m[0]) - len(m[0].lstrip()))) for n, a in names]
+    return sorted(out, key=lambda r: (r[3], r[1]))
+
+
 # --- languages with braces: headers by pattern, ends by matching brackets ------------------------------
 
 _MOD = r"(?:(?:public|private|protected|static|final|abstract|async|export|default|override|readonly|synchronized|pub(?:\([^)]*\))?|unsafe|const|extern)\s+)*"
@@ -102,6 +153,7 @@ HEADERS = {
 HEADERS["typescript"] = HEADERS["javascript"]
 _NOT_METHODS = {"if", "for", "while", "switch", "catch", "function", "return", "new", "else", "do", "try", "match", "foreach"}
 _SKIP = re.compile(r"/\*[\s\S]*?\*/|//[^\n]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`")
+_SKIP_COMMENTS = _SKIP
 _COMPILED = {k: re.compile(v, re.M) for k, v in HEADERS.items()}
 _CALL = re.compile(r"(?<![\w.$])(?:\$this->|self\.|this\.)?([A-Za-z_$][\w$.]*(?:(?:::|->|\.)\w+)*)\s*\(")
 
@@ -214,12 +266,12 @@ def template_text(text: str) -> str:
 
 
 def component_parts(text: str) -> dict[str, str]:
-    """Script, style and markup of a single-file component."""
+    """Script, style and markup of a single-file component; several of a kind are joined."""
     out = {}
     for tag in ("script", "style", "template"):
-        m = re.search(rf"<{tag}\b[^>]*>([\s\S]*?)</{tag}>", text)
-        if m:
-            out[tag] = m[1]
+        found = re.findall(rf"<{tag}\b[^>]*>([\s\S]*?)</{tag}>", text)
+        if found:
+            out[tag] = "\n".join(found)
     if "template" not in out:
         out["template"] = re.sub(r"<(script|style)\b[\s\S]*?</\1>", "", text).strip()
     return out

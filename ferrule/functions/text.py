@@ -61,15 +61,6 @@ def code_lines(code: Column) -> Column:
     return F.coalesce(F.size(F.filter(F.split(code, "\n"), lambda x: F.length(F.trim(F.regexp_replace(x, r"[\t\r]", " "))) > 0)), F.lit(0))
 
 
-# Tokens that open a branch or join conditions.
-BRANCHES = r"\b(if|elif|for|foreach|while|case|catch|except|match)\b|&&|\|\||\b(and|or)\b"
-
-
-def complexity(code: Column) -> Column:
-    """1 and one more for each branch and boolean operator."""
-    return F.lit(1) + F.regexp_count(code, F.lit(BRANCHES))
-
-
 def docstring_coverage(docstring: Column, has_params: Column, has_return: Column) -> Column:
     """0 without text; else 0.5, and 0.25 each if parameters and result are told of or don't exist."""
     told = docstring.rlike(r"(?m)^\s*(Args|Arguments|Parameters)\s*:?|@param\b|:param\b|^\s*#\s*Arguments")
@@ -88,17 +79,26 @@ def content_hash(code: Column, docstring: Column) -> Column:
     return F.sha2(F.concat(F.coalesce(code, F.lit("")), F.coalesce(docstring, F.lit(""))), 256)
 
 
-# Names of no interest, and names of infrastructure objects.
-THROWAWAY = "data result results value values item items temp tmp ret res out output obj idx index key val line text".split()
-FRAMEWORK = "app api router logger log client session engine db database redis config settings cache celery blueprint".split()
+#: Names that say nothing of what they hold, and names of objects that a program is built around; our own choice.
+THROWAWAY = "tmp temp foo bar baz buf obj val arr ret res result data item items value values element line text key idx index output input args".split()
+FRAMEWORK = "app server router api client session db database engine connection cache queue logger config settings".split()
+#: A statement that gives a name the result of one call, and nothing else.
+ONE_CALL = r"^\s*(?:(?:const|let|var|final|static|pub|private|public)\s+)*\$?\w+\s*(?::[^=\n]*)?=\s*(?:await\s+)?[\w.:]+\([^\n]*\)\s*;?\s*$"
+_INFRA = "^(?:" + "|".join(FRAMEWORK) + ")(?:_|$)|_(?:" + "|".join(FRAMEWORK) + ")$"
 
 
 def drop_reason(name: Column, code: Column) -> Column:
-    """Why a variable is of no interest, empty if it is kept."""
+    """Why a variable is of no interest, empty if it is kept: the first of these rules that holds."""
     low = F.lower(name)
-    call = F.regexp_replace(code, r"^[\s\S]*?(?=\b[A-Za-z_]\w*\s*(:[^=]*)?=)", "").rlike(r"^\w+\s*(:\s*[\w\[\], |<>?]+\s*)?=\s*[\w.]+\([^)\n]*\)\s*;?\s*$")
-    framework = low.rlike("^(" + "|".join(FRAMEWORK) + ")(_.*)?$|_(" + "|".join(FRAMEWORK) + ")$")
+    constant = name.rlike("[A-Z]") & (name == F.upper(name)) & (F.length(name) > 1)
+    short_call = (F.length(name) <= 4) & (name == low) & F.coalesce(code.rlike(ONE_CALL), F.lit(False))
     return (
-        F.when(name.rlike("[A-Za-z]") & (name == F.upper(name)) & (F.length(name) > 1), "").when(name.startswith("__") & name.endswith("__"), "").when(F.length(name) <= 1, "single_letter").when(low.isin(*THROWAWAY), "throwaway_name")
-        .when(call & ~framework & (name == low) & (F.length(name) <= 4), "short_call_result").otherwise("")
+        F.when(name.isNull(), "no_name").when(constant | name.rlike("^__.*__$") | low.rlike(_INFRA), "").when(F.length(name) == 1, "single_letter").when(low.isin(*THROWAWAY), "throwaway_name").when(short_call, "short_call_result").otherwise("")
     )
+
+
+def drop_reason_sql() -> str:
+    return (
+        f"CASE WHEN name IS NULL THEN 'no_name' WHEN regexp_matches(name, '[A-Z]') AND name = upper(name) AND length(name) > 1 OR regexp_matches(name, '^__.*__$') OR regexp_matches(lower(name), '{_INFRA}') THEN '' WHEN length(name) = 1 THEN 'single_letter'"
+        f" WHEN lower(name) IN ({', '.join(repr(w) for w in THROWAWAY)}) THEN 'throwaway_name' WHEN length(name) <= 4 AND name = lower(name) AND coalesce(regexp_matches(raw_code, '{ONE_CALL}'), false) THEN 'short_call_result' ELSE '' END"
+    )

@@ -37,7 +37,8 @@ def parsed_elements(files: DataFrame) -> DataFrame:
 
 
 def parsed_imports(files: DataFrame) -> DataFrame:
-    return files.select("file_id", "language", "text").where("language = 'python'").mapInArrow(_rows(_IMPORT, lambda t, g: parsers.python_imports(t or "")), "file_id long, module string, name string, alias string, line int")
+    """Imported names of ``file_id, language, text``, in all languages that are parsed here."""
+    return files.select("file_id", "language", "text").mapInArrow(_rows(_IMPORT, lambda t, g: parsers.imports(t, g)), "file_id long, module string, name string, alias string, line int")
 
 
 def sections(texts: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ R = Registry()
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
-    rows = current_elements(spark, d, "row_id", "element_type", "language", "raw_code").where("element_type = 'file'")
+    rows = current_elements(spark, d, "row_id", "element_type", "language", "raw_code", types=("file",))
     return rows.select(F.col("row_id").alias("file_id"), "language", F.col("raw_code").alias("text"))
 
 
@@ -44,7 +44,7 @@ CALLS_SQL = f"""calls AS (SELECT DISTINCT element_id, repository, username, rela
 
 def calls_and_defs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     key = ["element_id", "repository", "username", "relative_path"]
-    cur = current_elements(spark, d, *key, "element_type", "name", "raw_code").where(F.col("element_type").isin("function", "method"))
+    cur = current_elements(spark, d, *key, "element_type", "name", "raw_code", types=("function", "method")).where(F.col("element_type").isin("function", "method"))
     return cur.select(*key, F.explode(F.array_distinct(F.regexp_extract_all("raw_code", F.lit(CALL), F.lit(1)))).alias("callee")), cur.select(*key, "name")
 
 
@@ -69,7 +69,7 @@ def call_graph_degree(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("dead_code", f"WITH {CUR}, r AS ({R.sql['resolve_calls']}) SELECT element_id FROM cur WHERE element_type IN ('function', 'method') AND element_id NOT IN (SELECT target FROM r) AND coalesce(len(decorators), 0) = 0 AND coalesce(visibility, 'public') <> 'public' AND NOT coalesce(is_test, false) AND name <> 'main'")
 def dead_code(spark: SparkSession, d: str) -> DataFrame:
-    rows = current_elements(spark, d, "element_id", "element_type", "decorators", "visibility", "is_test", "name").where(F.col("element_type").isin("function", "method"))
+    rows = current_elements(spark, d, "element_id", "element_type", "decorators", "visibility", "is_test", "name", types=("function", "method")).where(F.col("element_type").isin("function", "method"))
     alive = resolve_calls(spark, d).select(F.col("target").alias("element_id"))
     hidden = (F.coalesce(F.size("decorators"), F.lit(0)) <= 0) & (F.coalesce("visibility", F.lit("public")) != "public") & ~F.coalesce("is_test", F.lit(False)) & (F.col("name") != "main")
     return rows.where(hidden).join(alive, "element_id", "left_anti").select("element_id")
@@ -84,10 +84,10 @@ def usages(spark: SparkSession, d: str) -> DataFrame:
 @R.query("implementations", f"WITH {CUR} SELECT element_id, regexp_extract(signature, '(?:extends|implements|\\()\\s*([A-Z]\\w+)', 1) AS base FROM cur WHERE element_type = 'class' AND regexp_matches(signature, '(?:extends|implements|\\()\\s*([A-Z]\\w+)')")
 def implementations(spark: SparkSession, d: str) -> DataFrame:
     p = r"(?:extends|implements|\()\s*([A-Z]\w+)"
-    return current_elements(spark, d, "element_id", "element_type", "signature").where((F.col("element_type") == "class") & F.col("signature").rlike(p)).select("element_id", F.regexp_extract("signature", p, 1).alias("base"))
+    return current_elements(spark, d, "element_id", "element_type", "signature", types=("class",)).where((F.col("element_type") == "class") & F.col("signature").rlike(p)).select("element_id", F.regexp_extract("signature", p, 1).alias("base"))
 
 
 @R.query("name_candidates", f"WITH {CUR} SELECT repository, name, count(*) AS n, count(*) = 1 AS is_unique FROM cur WHERE element_type IN ('class', 'function', 'method') GROUP BY 1, 2")
 def name_candidates(spark: SparkSession, d: str) -> DataFrame:
-    rows = current_elements(spark, d, "repository", "name", "element_type").where(F.col("element_type").isin("class", "function", "method"))
+    rows = current_elements(spark, d, "repository", "name", "element_type", types=("class", "function", "method")).where(F.col("element_type").isin("class", "function", "method"))
     return rows.groupBy("repository", "name").agg(F.count("*").alias("n"), (F.count("*") == 1).alias("is_unique"))

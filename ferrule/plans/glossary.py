@@ -22,7 +22,7 @@ TERMS_SQL = f"w AS (SELECT DISTINCT element_id, repository, {NORMAL_SQL} AS term
 
 def terms(spark: SparkSession, d: str) -> DataFrame:
     """``element_id, repository, term``: the words of each name in the singular, generic ones left out."""
-    rows = current_elements(spark, d, "element_id", "repository", "element_type", "name").where(F.col("element_type").isin("class", "function", "method"))
+    rows = current_elements(spark, d, "element_id", "repository", "element_type", "name", types=("class", "function", "method")).where(F.col("element_type").isin("class", "function", "method"))
     words = rows.select("element_id", "repository", F.explode(F.split(humanize_name(F.col("name")), " ")).alias("t"))
     g = words.select("element_id", "repository", normalize_term(F.col("t")).alias("term")).distinct()
     return g.where((F.length("term") >= 3) & F.col("term").rlike("^[a-z]+$") & ~F.col("term").isin(*GENERIC))
@@ -37,7 +37,7 @@ def glossary_terms(spark: SparkSession, d: str) -> DataFrame:
  SELECT term, repository, frequency, members, round(100.0 * frequency / members, 4) AS percentage FROM f JOIN n USING (repository) WHERE 100.0 * frequency / members >= 5""")
 def glossary_associations(spark: SparkSession, d: str) -> DataFrame:
     """Share of a repository's classes and functions whose name has the term, from 5 % on."""
-    n = current_elements(spark, d, "repository", "element_type").where(F.col("element_type").isin("class", "function", "method")).groupBy("repository").agg(F.count("*").alias("members"))
+    n = current_elements(spark, d, "repository", "element_type", types=("class", "function", "method")).where(F.col("element_type").isin("class", "function", "method")).groupBy("repository").agg(F.count("*").alias("members"))
     f = terms(spark, d).groupBy("term", "repository").agg(F.count("*").alias("frequency"))
     share = 100.0 * F.col("frequency") / F.col("members")
     return f.join(n, "repository").where(share >= 5).select("term", "repository", "frequency", "members", F.round(share, 4).alias("percentage"))

@@ -30,14 +30,14 @@ def dependents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select("s_suppkey").join(li, F.col("l_suppkey") == F.col("s_suppkey"), "left").groupBy("s_suppkey").agg(F.count_distinct("o_custkey").alias("n_dependents"))
 
 
-IMPORTS_SQL = f"""imp AS (SELECT repository, relative_path, CASE WHEN language = 'python' THEN regexp_extract(l, '^(?:from|import)\\s+([\\w.]+)', 1) WHEN language IN ('javascript', 'typescript') THEN regexp_extract(l, '^import .*''([^'']+)'';', 1) WHEN language = 'rust' THEN regexp_extract(l, '^use\\s+([\\w:]+)', 1) ELSE '' END AS module
+IMPORTS_SQL = f"""imp AS (SELECT repository, relative_path, CASE WHEN language = 'python' THEN regexp_extract(l, '^(?:from|import)\\s+([\\w.]+)', 1) WHEN language IN ('javascript', 'typescript') THEN regexp_extract(l, '^import .*''([^'']+)'';', 1) WHEN language = 'rust' THEN regexp_extract(l, '^use\\s+([\\w:]+)', 1) WHEN language = 'java' THEN regexp_extract(l, '^import\\s+(?:static\\s+)?([\\w.]+)', 1) WHEN language = 'php' THEN regexp_extract(l, '^use\\s+\\\\?([A-Za-z][\\w\\\\]*)\\s*(?:;|as)', 1) ELSE '' END AS module
  FROM (SELECT repository, relative_path, language, unnest(string_split(regexp_replace(raw_code, '\\r', '', 'g'), chr(10))) AS l FROM cur WHERE element_type = 'file'))"""
 
 
 def imports(spark: SparkSession, d: str) -> DataFrame:
-    files = current_elements(spark, d, "repository", "relative_path", "language", "element_type", "raw_code").where("element_type = 'file'")
+    files = current_elements(spark, d, "repository", "relative_path", "language", "element_type", "raw_code", types=("file",))
     lines = files.select("repository", "relative_path", "language", F.explode(F.split(F.regexp_replace("raw_code", "\r", ""), "\n")).alias("l"))
-    module = F.when(F.col("language") == "python", F.regexp_extract("l", r"^(?:from|import)\s+([\w.]+)", 1)).when(F.col("language").isin("javascript", "typescript"), F.regexp_extract("l", r"^import .*'([^']+)';", 1)).when(F.col("language") == "rust", F.regexp_extract("l", r"^use\s+([\w:]+)", 1)).otherwise("")
+    module = F.when(F.col("language") == "python", F.regexp_extract("l", r"^(?:from|import)\s+([\w.]+)", 1)).when(F.col("language").isin("javascript", "typescript"), F.regexp_extract("l", r"^import .*'([^']+)';", 1)).when(F.col("language") == "rust", F.regexp_extract("l", r"^use\s+([\w:]+)", 1)).when(F.col("language") == "java", F.regexp_extract("l", r"^import\s+(?:static\s+)?([\w.]+)", 1)).when(F.col("language") == "php", F.regexp_extract("l", r"^use\s+\\?([A-Za-z][\w\\]*)\s*(?:;|as)", 1)).otherwise("")
     return lines.select("repository", "relative_path", module.alias("module")).where("module <> ''")
 
 
@@ -89,7 +89,7 @@ def tree_roots(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("entry_points", f"WITH {CUR} SELECT element_id, CASE WHEN len(list_filter(decorators, lambda x: regexp_matches(lower(x), 'route|get|post|api'))) > 0 THEN 'http' WHEN len(list_filter(decorators, lambda x: regexp_matches(lower(x), 'command|click|cli'))) > 0 THEN 'cli' WHEN len(list_filter(decorators, lambda x: regexp_matches(lower(x), 'test|fixture'))) > 0 THEN 'test' WHEN len(list_filter(decorators, lambda x: regexp_matches(lower(x), 'task|job|retry'))) > 0 THEN 'async' WHEN name = 'main' THEN 'main' ELSE 'other' END AS kind FROM cur WHERE element_type IN ('function', 'method') AND (len(decorators) > 0 OR name = 'main')")
 def entry_points(spark: SparkSession, d: str) -> DataFrame:
-    rows = current_elements(spark, d, "element_id", "element_type", "name", "decorators").where(F.col("element_type").isin("function", "method") & ((F.size("decorators") > 0) | (F.col("name") == "main")))
+    rows = current_elements(spark, d, "element_id", "element_type", "name", "decorators", types=("function", "method")).where(F.col("element_type").isin("function", "method") & ((F.size("decorators") > 0) | (F.col("name") == "main")))
     has = lambda p: F.exists("decorators", lambda x: F.lower(x).rlike(p))
     kind = F.when(has("route|get|post|api"), "http").when(has("command|click|cli"), "cli").when(has("test|fixture"), "test").when(has("task|job|retry"), "async").when(F.col("name") == "main", "main").otherwise("other")
     return rows.select("element_id", kind.alias("kind"))
@@ -107,9 +107,8 @@ def tightest_parent(spark: SparkSession, d: str) -> DataFrame:
  c AS (SELECT * FROM l WHERE regexp_matches(content, '^\\s*(#|//)')) SELECT t.element_id, count(*) AS n FROM cur t JOIN c USING (repository, username, relative_path) WHERE t.element_type IN ('function', 'method') AND c.line BETWEEN t.line_start - 3 AND t.line_start GROUP BY 1""")
 def comments_near(spark: SparkSession, d: str) -> DataFrame:
     key = ["repository", "username", "relative_path"]
-    cur = current_elements(spark, d, *key, "element_id", "element_type", "line_start", "raw_code")
-    lines = cur.where("element_type = 'file'").select(*key, F.posexplode(F.split("raw_code", "\n")).alias("at", "content")).where(F.col("content").rlike(r"^\s*(#|//)")).select(*key, (F.col("at") + 1).alias("line"))
-    targets = cur.where(F.col("element_type").isin("function", "method")).select(*key, F.col("element_id").alias("id"), F.col("line_start").alias("at"))
+    lines = current_elements(spark, d, *key, "raw_code", types=("file",)).select(*key, F.posexplode(F.split("raw_code", "\n")).alias("at", "content")).where(F.col("content").rlike(r"^\s*(#|//)")).select(*key, (F.col("at") + 1).alias("line"))
+    targets = current_elements(spark, d, *key, "element_id", "line_start", types=("function", "method")).select(*key, F.col("element_id").alias("id"), F.col("line_start").alias("at"))
     return graphs.near_lines(lines, targets, key, 3).groupBy(F.col("id").alias("element_id")).agg(F.count("*").alias("n"))
 
 

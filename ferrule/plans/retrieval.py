@@ -27,7 +27,7 @@ def bm25_sql(source: str, key: str, text: str, terms: list[str], boost: float =
 
 @R.query("search_regexp", f"WITH {CUR} SELECT element_id FROM cur WHERE length(raw_code) <= 8191 AND regexp_matches(raw_code, 'except [A-Z][A-Za-z]+Error|throw new') AND element_type IN ('function', 'method')")
 def search_regexp(spark: SparkSession, d: str) -> DataFrame:
-    rows = current_elements(spark, d, "element_id", "element_type", "raw_code").where(F.col("element_type").isin("function", "method"))
+    rows = current_elements(spark, d, "element_id", "element_type", "raw_code", types=("function", "method")).where(F.col("element_type").isin("function", "method"))
     return rows.where((F.length("raw_code") <= search.KEYWORD_LIMIT) & F.col("raw_code").rlike("except [A-Z][A-Za-z]+Error|throw new")).select("element_id")
 
 

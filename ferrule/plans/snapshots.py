@@ -97,7 +97,7 @@ def delete_then_count(spark: SparkSession, d: str) -> DataFrame:
 @R.query("hash_updates", f"WITH {CUR}, {NEW} SELECT c.repository, c.relative_path, c.username, n.file_hash, n.element_count FROM cur c LEFT JOIN newest n USING (repository, username, relative_path) WHERE c.element_type = 'file'")
 def hash_updates(spark: SparkSession, d: str) -> DataFrame:
     key = ["repository", "username", "relative_path"]
-    files = current_elements(spark, d, *key, "element_type").where("element_type = 'file'").drop("element_type")
+    files = current_elements(spark, d, *key, "element_type", types=("file",)).drop("element_type")
     return changes.update_by_key(files.withColumns({"file_hash": F.lit(None).cast("string"), "element_count": F.lit(None).cast("int")}), newest_files(spark, d, *key, "file_hash", "element_count"), key, ["file_hash", "element_count"])
 
 

@@ -43,8 +43,9 @@ def dashboard_pivot(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("browse_stats", f"WITH {CUR} SELECT element_type, language, count(*) AS n FROM cur GROUP BY GROUPING SETS ((element_type), (language), ())")
 def browse_stats(spark: SparkSession, d: str) -> DataFrame:
-    current_elements(spark, d, "element_type", "language").createOrReplaceTempView("ferrule_cur")
-    return spark.sql("SELECT element_type, language, count(*) AS n FROM ferrule_cur GROUP BY GROUPING SETS ((element_type), (language), ())")
+    rows = current_elements(spark, d, "element_type", "language")
+    t, g = F.col("element_type"), F.col("language")
+    return rows.groupingSets([[t], [g], []], t, g).agg(F.count("*").alias("n"))
 
 
 @R.query("browse_filters", " UNION ALL ".join(f"SELECT DISTINCT '{c}' AS facet, {c} AS value FROM code_elements" for c in ("scope", "repository", "username", "element_type", "language")))
@@ -178,5 +179,5 @@ def languages_of_files(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("processing_state", f"WITH {CUR} SELECT element_id, docstring IS NOT NULL AND trim(docstring) <> '' AS has_text, coalesce(len(summary_embedding) > 0, false) AS has_summary_vector, coalesce(len(code_embedding) > 0, false) AS has_code_vector FROM cur WHERE element_type IN ('function', 'method', 'class')")
 def processing_state(spark: SparkSession, d: str) -> DataFrame:
-    rows = current_elements(spark, d, "element_id", "element_type", "docstring", "summary_embedding", "code_embedding").where(F.col("element_type").isin("function", "method", "class"))
+    rows = current_elements(spark, d, "element_id", "element_type", "docstring", "summary_embedding", "code_embedding", types=("function", "method", "class")).where(F.col("element_type").isin("function", "method", "class"))
     return rows.select("element_id", F.coalesce(F.trim("docstring") != "", F.lit(False)).alias("has_text"), F.coalesce(F.size("summary_embedding") > 0, F.lit(False)).alias("has_summary_vector"), F.coalesce(F.size("code_embedding") > 0, F.lit(False)).alias("has_code_vector"))

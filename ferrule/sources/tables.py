@@ -31,11 +31,18 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return df.withColumn(mark, F.row_number().over(w)).where(F.col(mark) == 1).drop(mark)
 
 
-def current_elements(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """Current rows of ``code_elements``: newest ``indexed_at``, then greatest ``row_id``."""
+def current_elements(spark: SparkSession, folder: str, *columns: str, types: tuple[str, ...] = ()) -> DataFrame:
+    """Current rows of ``code_elements``: newest ``indexed_at``, then greatest ``row_id``.
+
+    ``types`` keeps the elements of these types only. The type is part of the ``element_id``, so all versions of an
+    element have the same one and the filter may come before the versions are compared: it reaches the scan, and
+    the texts of other types are never shuffled.
+    """
+    rows = table(spark, folder, "code_elements")
+    if types:
+        rows = rows.where(F.col("element_type").isin(*types))
     need = list(dict.fromkeys(["element_id", "row_id", "indexed_at", *columns]))
-    rows = latest_per_key(table(spark, folder, "code_elements").select(*need), ["element_id"], ["indexed_at", "row_id"])
-    return rows.select(*columns)
+    return latest_per_key(rows.select(*need), ["element_id"], ["indexed_at", "row_id"]).select(*columns)
 
 
 def newest_files(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
