@@ -12,9 +12,9 @@ def chain(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
     """``id, depth``: nodes within ``max_depth`` steps of ``starts`` (``id``), at their least depth.
 
     ``edges``: ``src, dst``. Each step joins only the newest nodes with the edges and drops those seen
-    before, so loops end and no path is enumerated.
+    before, so loops end and no path is enumerated. The edges are read and partitioned by ``src`` once, for all steps.
     """
-    edges = edges.select("src", "dst").where(F.col("src").isNotNull() & F.col("dst").isNotNull())
+    edges = cut(edges.select("src", "dst").where(F.col("src").isNotNull() & F.col("dst").isNotNull()).repartition("src"))
     seen = cut(starts.select("id").distinct().withColumn("depth", F.lit(0)))
     newest = seen
     for k in range(1, max_depth + 1):

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ferrule.session import cut
+
 OWNER = ["repository", "username"]
 CALL = r"(?:([A-Za-z_$][\w$]*(?:\(\))?)(?:\.|->|::))?([A-Za-z_$][\w$]*)\s*\("
 _KEYWORDS = "if for while switch catch return function elif match print super and or not in await yield new def fn func sizeof typeof".split()
@@ -142,7 +144,7 @@ def resolved(functions: DataFrame, definitions: DataFrame, imports: DataFrame, b
     Passes: ``import``, ``same_file``, ``super``, ``constructor``, ``annotation``, ``return_type``, ``affinity``, ``unique_name``. Null code and names
     give no calls; empty tables give no rows.
     """
-    found = calls(functions)
+    found = cut(calls(functions))  # read by every pass, without the code
     plain = found.where(F.col("receiver").isNull())
     defs = definitions.where(F.col("element_type").isin("function", "class")).select(*OWNER, "relative_path", F.col("name").alias("callee"), F.col("element_id").alias("t"))
     here = plain.join(defs, [*OWNER, "relative_path", "callee"]).where(F.col("t") != F.col("element_id")).groupBy("element_id", "callee").agg(F.min("t").alias("target"))
@@ -150,7 +152,7 @@ def resolved(functions: DataFrame, definitions: DataFrame, imports: DataFrame, b
     alone = plain.join(unique, [*OWNER, "callee"]).where(F.col("target") != F.col("element_id")).select("element_id", "callee", "target")
     classes = definitions.where("element_type = 'class'").select(F.col("element_id").alias("parent_id"), F.col("name").alias("type"))
     above = found.where(F.col("receiver").isin("super()", "super", "parent")).join(classes, "parent_id").join(bases, [*OWNER, "type"]).select("element_id", *OWNER, "receiver", "callee", F.col("base").alias("type"))
-    typed = found.where(F.col("receiver").isNotNull()).join(receiver_types(functions, definitions), ["element_id", *OWNER, "receiver"])
+    typed = cut(found.where(F.col("receiver").isNotNull()).join(receiver_types(functions, definitions), ["element_id", *OWNER, "receiver"]))
     none = F.lit(None).cast("string").alias("receiver")
     passes = [
         ("import", imported(found, imports, definitions)), ("same_file", here.select("element_id", none, "callee", "target")), ("super", methods_by_type(above, definitions, bases)),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.operators import relations, resolve, routes
+from ferrule.operators import graphs, relations, resolve, routes
 from ferrule.plans.extraction import CALLS_SQL, calls_and_defs, resolve_calls
 from ferrule.plans.extraction import R as EXTRACTION
 from ferrule.plans.glossary import resolved as resolved_imports
@@ -163,3 +163,22 @@ def linked_references(spark: SparkSession, d: str) -> DataFrame:
     there = defs.select("repository", "username", F.col("name").alias("callee"), F.col("element_id").alias("target"))
     links = calls.select("element_id", "repository", "username", "callee").join(there, ["repository", "username", "callee"]).where("element_id <> target").select("element_id", "target").distinct()
     return links.withColumn("place", F.row_number().over(Window.partitionBy("element_id").orderBy("target"))).where("place <= 10").drop("place")
+
+
+@R.query("element_call_chain", f"WITH RECURSIVE {CUR}, r AS ({EXTRACTION.sql['resolve_calls']}), w AS (SELECT element_id AS id, 0 AS depth FROM r WHERE element_id IN (SELECT element_id FROM cur WHERE is_test) UNION SELECT r.target, w.depth + 1 FROM w JOIN r ON r.element_id = w.id WHERE w.depth < 5) SELECT id, min(depth) AS depth FROM w GROUP BY 1")
+def element_call_chain(spark: SparkSession, d: str) -> DataFrame:
+    """What tests reach by resolved calls within five steps."""
+    links = resolve_calls(spark, d).select(F.col("element_id").alias("src"), F.col("target").alias("dst"))
+    tests = current_elements(spark, d, "element_id", "is_test", types=("function", "method")).where("is_test")
+    starts = links.select(F.col("src").alias("id")).join(tests.select(F.col("element_id").alias("id")), "id", "left_semi")
+    return graphs.chain(links, starts, 5)
+
+
+@R.query("unreached_elements", f"WITH RECURSIVE {CUR}, r AS ({EXTRACTION.sql['resolve_calls']}), w AS (SELECT element_id AS id FROM cur WHERE element_type IN ('function', 'method') AND (is_test OR name = 'main' OR coalesce(visibility, 'public') = 'public') UNION SELECT r.target FROM w JOIN r ON r.element_id = w.id) SELECT element_id FROM cur WHERE element_type IN ('function', 'method') AND element_id NOT IN (SELECT id FROM w)")
+def unreached_elements(spark: SparkSession, d: str) -> DataFrame:
+    """Functions that no public function, test or ``main`` reaches by resolved calls, over any number of steps."""
+    rows = current_elements(spark, d, "element_id", "is_test", "name", "visibility", types=("function", "method"))
+    links = resolve_calls(spark, d).select(F.col("element_id").alias("src"), F.col("target").alias("dst"))
+    alive = rows.where(F.coalesce("is_test", F.lit(False)) | (F.col("name") == "main") | (F.coalesce("visibility", F.lit("public")) == "public"))
+    reached = graphs.chain(links, alive.select(F.col("element_id").alias("id")), 1_000_000)
+    return rows.select("element_id").join(reached.select(F.col("id").alias("element_id")), "element_id", "left_anti")
