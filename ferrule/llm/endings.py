@@ -59,7 +59,7 @@ _WHOLE_LINK = re.compile(r"[^/:]/[\w.#?=&%~-]{3,}>?$|[)>]$")
 _ITEM = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+\S")
 _NAME = re.compile(r"^(?:[^\W\d_][\w.'’-]*)(?:[ ,]+[^\W\d_][\w.'’-]*){0,3}$")
 #: A line, or the end of one, that takes leave; a name stands below it.
-_LEAVE = re.compile(r"(?:^|[.!?]\s)\s*(?:(?:best|kind|warm|many|with|viele|mit freundlichen|muchas)\s+)*(?:regards|cheers|thanks|thank you|best|sincerely|yours|gruß|grüße|grüßen|danke|saludos|gracias|cordialement|merci)[\s,.!]*$", re.I)
+_LEAVE = re.compile(r"(?:^|\s)(?:(?:best|kind|warm|many|with|viele|mit freundlichen|muchas)\s+)*(?:regards|cheers|thanks|thank you|best|sincerely|yours|gruß|grüße|grüßen|danke|saludos|gracias|cordialement|merci)[\s,.!]*$", re.I)
 #: A word that begins a sentence that goes on.
 _OPENING = re.compile(r"(?:^|[.!?][\"'»”’)\]*_`]*\s)[ \t]*([^\W\d_]+),? (?=[^\W\d_])", re.M)
 #: A word opens sentences, and is no signature, if it opens one in so many times the texts that end with it, and in so many at least.
