@@ -9,12 +9,17 @@ QUERIES = {n: q for r in registries() for n, q in r.queries.items()}
 SQL = {n: s for r in registries() for n, s in r.sql.items()}
 
 
+#: A hundred texts expose no limit; limits are tested in test_text_operators.py.
+TOO_FEW_ROWS = {"p10_limits"}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(name, spark, small):
     if name in SQL:
         assert compare(name, QUERIES[name], SQL[name], spark, small, connect(small)) is None
     else:
-        assert QUERIES[name](spark, small).count() > 0
+        n = QUERIES[name](spark, small).count()
+        assert n > 0 or name in TOO_FEW_ROWS
 
 
 def test_containers_hold_every_document_whole(spark, small):
