@@ -42,3 +42,16 @@ def test_pieces_join_to_every_text(spark, small):
     texts = {r["element_id"]: r["raw_code"] for r in spark.read.parquet(f"{small}/code_elements.parquet").select("element_id", "raw_code", "row_id", "indexed_at").orderBy("indexed_at", "row_id").collect()}
     whole = rows.groupby("element_id")["piece"].apply(lambda p: split.joined(list(p)))
     assert all(texts[e] == t for e, t in whole.items()) and len(whole) == sum(t is not None for t in texts.values())
+
+
+def test_every_file_is_judged(spark, tmp_path):
+    """Also TOML, which p5_found never reports, and the newest version only."""
+    texts = [("a.toml", "toml", "x = 1\n"), ("b.toml", "toml", "x = [1\n"), ("c.py", "python", "f(\n"), ("d", None, "(("), ("e.toml", "toml", None), ("f.css", "css", "{")]
+    rows = [(i, f"s:r:main:{p}:file:{p}:0", 1, "file", "r", "main", p, g, t) for i, (p, g, t) in enumerate(texts)]
+    rows += [(9, rows[0][1], 0, "file", "r", "main", "a.toml", "toml", "x = [1\n")]
+    spark.createDataFrame(rows, "row_id long, element_id string, indexed_at int, element_type string, repository string, username string, relative_path string, language string, raw_code string").write.parquet(f"{tmp_path}/code_elements.parquet")
+    said = [("r", "main", "b.toml", ["No parser for language: toml"]), ("r", "main", "c.py", ["unexpected EOF"])]
+    spark.createDataFrame(said, "repository string, username string, relative_path string, parse_errors array<string>").write.parquet(f"{tmp_path}/parsed_files.parquet")
+    rates = {(r.key_field, r.key_value): (r.n_files, r.n_invalid, r.n_reported) for r in QUERIES["p5_rates"](spark, str(tmp_path)).collect()}
+    assert rates == {("repository", "r"): (6, 2, 1), ("language", "toml"): (3, 1, 0), ("language", "python"): (1, 1, 1), ("language", None): (1, 0, 0), ("language", "css"): (1, 0, 0)}
+    assert [r.relative_path for r in QUERIES["p5_found"](spark, str(tmp_path)).collect()] == ["c.py"]

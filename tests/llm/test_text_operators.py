@@ -232,6 +232,15 @@ def test_validity(spark):
     assert syntax.validity(spark.createDataFrame([], "id long, language string, text string")).count() == 0
 
 
+def test_validity_of_toml(spark):
+    """Neither depth nor digits nor length decide."""
+    good = ["[a]\nx = 1\r\n[[b.c]]\n", "\ufeffa = 1", "a = " + "[" * 3000 + "]" * 3000, "a = " + "9" * 5000, "# none", "", None]
+    bad = ["[[[", "a = [1, 2", 'a = "x\n', "<<<<<<< a\nx = 1\n", "a = 1 # \x00", "a = 1\na = 2\n", "a = " + "[" * 3000 + "]" * 2999, "a = " + "9" * 5000 + "\nb ="]
+    rows = [(i, "toml", t) for i, t in enumerate(good + bad)]
+    got = dict(tuple(r) for r in syntax.validity(spark.createDataFrame(rows, "id long, language string, text string"), 100).collect())
+    assert got == {i: i < len(good) for i in range(len(rows))}
+
+
 # --- 8 -----------------------------------------------------------------------------------------------
 
 
